@@ -13,6 +13,9 @@ from vellum.llm.bpe_count import count_tokens
 from vellum.llm.bpe_encode import encode_documents
 from vellum.llm.common import table
 from vellum.llm.html_wrapper import extract
+from vellum.llm.line_dedup import dedup_lines
+from vellum.llm.ngram_join import near_duplicates
+from vellum.llm.spaced_seeds import decontaminate
 from vellum.llm.topk import top_k
 
 #: Grades of severity from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of bad quality.
@@ -80,6 +83,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each document's text without its repeated lines."""
+    clean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                               ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w
+), u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (nx + ny - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, reach) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id FROM s LEFT JOIN m USING (doc_id)
+"""
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -98,10 +131,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op3_bpe_encode": op3_bpe_encode,
         "op4_topk": op4_topk,
+        "op5_line_dedup": op5_line_dedup,
         "op6_html_extraction": op6_html_extraction,
+        "op8_ngram_join": op8_ngram_join,
+        "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op8_ngram_join": OP8_SQL}
