@@ -184,3 +184,13 @@ def in_bloom_of_hashes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         spot = (hashes >> np.uint64(s)) & np.uint64(bits - 1)
         ok &= (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
     return ok
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't among ids (doc_id); rows with a null id stay. Only rows that the filter lets through are shuffled."""
+    ids = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
+    maybe = passes(bloom(ids, "_gone"), "_key") & F.col("doc_id").isNotNull()
+    marked = docs.withColumn("_key", key).withColumn("_maybe", maybe)
+    kept = marked.where("_maybe").join(ids, F.col("_key") == F.col("_gone"), "left_anti")
+    return marked.where("not _maybe").unionByName(kept).select(*docs.columns)

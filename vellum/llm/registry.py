@@ -16,6 +16,7 @@ from vellum.llm.html_wrapper import extract
 from vellum.llm.line_dedup import dedup_lines
 from vellum.llm.ngram_join import near_duplicates
 from vellum.llm.spaced_seeds import decontaminate
+from vellum.llm.suffix_sort import remove_repeats
 from vellum.llm.topk import top_k
 
 #: Grades of severity from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of bad quality.
@@ -89,6 +90,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -133,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_topk": op4_topk,
         "op5_line_dedup": op5_line_dedup,
         "op6_html_extraction": op6_html_extraction,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_ngram_join": op8_ngram_join,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
