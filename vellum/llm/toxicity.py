@@ -5,7 +5,7 @@ expected severity is the sum over j of P(grade > j). Features are the distinct w
 weighing 1 if present: repeated words or rows change nothing in a score.
 
 Fit: on at most `sample` labelled rows, those of smallest hash of their id (parameter; 20,000 by default), so what
-reaches the driver is bounded. The vocabulary is every word in at least `min_docs` of them that differs between
+reaches the driver is bounded: the vocabulary and, of each sampled row, its words of it. The vocabulary is every word in at least `min_docs` of them that differs between
 grades (a chi-square statistic over `min_chi`). Scoring maps over all rows with the words and weights in the closure,
 bounded by the sample too.
 
@@ -17,7 +17,6 @@ labels, or with one grade only, every severity is that grade (0 with none). Only
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import cut as written
 from vellum.llm.common import text_column
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -99,27 +99,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(examples: list[tuple[str, int]], min_docs: int = 5, min_chi: float = 12.0, l2: float = 3e-4) -> Model:
-    """examples: (text, grade)."""
-    grades = np.array([g for _, g in examples], np.int64)
+def train(features: list[np.ndarray], grades: np.ndarray, vocabulary: dict[str, int], l2: float = 3e-4) -> Model:
+    """A model from each example's known words (as numbers) and grade."""
     levels = np.unique(grades)
     if len(levels) < 2:
         return Model({}, np.zeros(0), np.zeros(0), float(levels[0]) if len(levels) else 0.0)
-    grades = np.searchsorted(levels, grades)
-    bags = [words(t) for t, _ in examples]
-    seen, high = Counter(), Counter()
-    for bag, g in zip(bags, grades):
-        seen.update(bag)
-        if g:
-            high.update(bag)
-    n, m = len(bags), int((grades > 0).sum())
-    vocabulary: dict[str, int] = {}
-    for word, c in seen.items():
-        expected = c * m / n
-        if c >= min_docs and (high[word] - expected) ** 2 / expected * n / max(n - m, 1) >= min_chi:
-            vocabulary[word] = len(vocabulary)
-    rows = [np.array(sorted(vocabulary[w] for w in bag & vocabulary.keys()), np.int64) for bag in bags]
-    w, theta = fit_ordinal(rows, grades, len(vocabulary), l2)
+    w, theta = fit_ordinal(features, np.searchsorted(levels, grades), len(vocabulary), l2)
     return Model(vocabulary, w, theta, float(levels[0]))
 
 
@@ -130,17 +115,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade, sample: int) -> D
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "grade")
 
 
-def train_from(docs: DataFrame, labels: DataFrame, grade, sample: int = 20_000) -> Model:
-    """The words are taken on the executors; the driver gets each sampled row's distinct words only."""
+def train_from(docs: DataFrame, labels: DataFrame, grade, sample: int = 20_000, min_docs: int = 5, min_chi: float = 12.0) -> Model:
+    """Words are taken and counted on the executors; the driver gets the vocabulary and each sampled row's words of it, as numbers."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(sorted(words(t))) for t in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["doc_id", "words", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string())), b.column(2)], names=["doc_id", "words", "grade"])
+
+    picked = written(labelled_sample(docs, labels, grade, sample).mapInArrow(bags, "doc_id bigint, words array<string>, grade int"))
+    levels = {r["grade"]: r["count"] for r in picked.groupBy("grade").count().collect()}
+    n, lowest = sum(levels.values()), min(levels, default=0)
+    high = n - levels.get(lowest, 0)
+    seen = picked.select(F.explode("words").alias("word"), (F.col("grade") > lowest).cast("int").alias("high")).groupBy("word").agg(F.count("*").alias("c"), F.sum("high").alias("h"))
+    expected = F.col("c") * high / max(n, 1)
+    chi = (F.col("h") - expected) ** 2 / expected * n / max(n - high, 1)
+    told = seen.where((F.col("c") >= min_docs) & (chi >= min_chi)).select("word").toArrow().column("word").to_pylist() if high else []
+    vocabulary = {w: i for i, w in enumerate(sorted(told))}
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = [[vocabulary[w] for w in own if w in vocabulary] for own in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(known, pa.list_(pa.int32())), b.column(2)], names=["doc_id", "known", "grade"])
 
-    got = labelled_sample(docs, labels, grade, sample).mapInArrow(bags, "doc_id bigint, words string, grade int").toArrow()
+    got = picked.mapInArrow(numbers, "doc_id bigint, known array<int>, grade int").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    texts, grades = got.column("words").to_pylist(), got.column("grade").to_pylist()
-    return train([(texts[i], grades[i]) for i in order])
+    known, grades = got.column("known").to_pylist(), got.column("grade").to_numpy()[order].astype(np.int64)
+    return train([np.array(known[i], np.int64) for i in order], grades, vocabulary)
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
