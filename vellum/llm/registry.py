@@ -20,7 +20,7 @@ from vellum.llm.suffix_sort import remove_repeats
 from vellum.llm.topk import top_k
 
 #: Grades of severity from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of bad quality.
-GRADE = F.expr("CASE WHEN toxic > 0 THEN 2 - least(coalesce(quality, 0), 1) WHEN toxic = 0 THEN 0 END")
+GRADE = "CASE WHEN toxic > 0 THEN 2 - least(coalesce(quality, 0), 1) WHEN toxic = 0 THEN 0 END"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

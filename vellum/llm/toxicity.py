@@ -108,14 +108,14 @@ def train(features: list[np.ndarray], grades: np.ndarray, vocabulary: dict[str,
     return Model(vocabulary, w, theta, float(levels[0]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, grade, sample: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, sample: int) -> DataFrame:
     """(text, grade) of at most `sample` labelled rows: those with the smallest hash of their id."""
-    graded = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), grade.cast("int").alias("grade")).dropna()
+    graded = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(grade).cast("int").alias("grade")).dropna()
     picked = graded.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "grade")
 
 
-def train_from(docs: DataFrame, labels: DataFrame, grade, sample: int = 20_000, min_docs: int = 5, min_chi: float = 12.0) -> Model:
+def train_from(docs: DataFrame, labels: DataFrame, grade: str, sample: int = 20_000, min_docs: int = 5, min_chi: float = 12.0) -> Model:
     """Words are taken and counted on the executors; the driver gets the vocabulary and each sampled row's words of it, as numbers."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
