@@ -13,6 +13,11 @@ WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_'’-]*"
 SMALL_WORDS = ["a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "into", "nor", "of", "on", "or", "over", "the", "to", "via", "vs", "with", "without"]
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c evaluated once, however often body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 

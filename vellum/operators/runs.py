@@ -21,7 +21,7 @@ def merge_runs(runs: Column) -> Column:
     empty = F.array().cast(f"array<{RUN}>")
 
     def add(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         joined = run(F.concat(last["text"], r["text"]), r["bold"], r["italic"], r["sup"], r["sub"])
         merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))
         return F.when(F.size(acc) == 0, F.array(r)).when(same_format(last, r), merged).otherwise(F.concat(acc, F.array(r)))

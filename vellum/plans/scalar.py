@@ -235,7 +235,7 @@ _TEXDOC = r"""SELECT doc_id, 'Intro $x_' || CAST(doc_id AS STRING) || '$ text %
 \begin{equation}\label{eq:a} a=' || CAST(doc_id AS STRING) || ' \end{equation} then
 \begin{align} b &= 1 \\ c &= 2 \nonumber \\ d &= 3 \label{eq:b} \end{align}
 \begin{equation*} z \end{equation*} See \ref{eq:a}, \eqref{eq:b} and \ref{eq:none}; \(q\) ends.' AS text FROM {documents} d"""
-_TEXDOC_SPARK = _TEXDOC.replace("\\", "\\\\")
+_TEXDOC_SPARK = _TEXDOC.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}").replace("{{documents}}", "{documents}")
 
 
 @query("""SELECT doc_id, CAST(v.i AS BIGINT) AS idx, v.env, v.starred, CASE v.i WHEN 0 THEN 'a=' || doc_id WHEN 1 THEN 'b &= 1 \\\\ c &= 2 \\nonumber \\\\ d &= 3' ELSE 'z' END AS body, v.label, CAST(v.a AS BIGINT) AS first_num, CAST(v.b AS BIGINT) AS last_num
