@@ -21,6 +21,11 @@ def parsed_refs(spark, sf_dir):
     return p.select("doc_id", "k", "raw", "old_num", "confident", *[F.col(f"p_{c}").alias(c) for c in ("authors", "etal", "year", "suffix", "title", "container", "kind", "volume", "issue", "pages", "doi", "url")])
 
 
+def labelled_refs(spark, sf_dir):
+    """References with the number of their own label, if they have one."""
+    return derived.refs(spark, sf_dir).withColumn("old_num", bib.old_number(F.col("raw")))
+
+
 def names_text(c):
     return F.array_join(F.transform(c, lambda a: F.concat(a["family"], F.lit("|"), a["initials"])), ";")
 
@@ -141,7 +146,7 @@ NEW_DATED = f"SELECT * FROM ({_renumbered(DATED, '[pos, parenthetical, mention,
 
 @query(f"SELECT doc_id, pos, CAST(mention AS BIGINT) AS mention, CAST(item AS BIGINT) AS item, CAST(number AS BIGINT) AS number, CAST(k AS BIGINT) AS k FROM ({NUMERIC_K}) z")
 def cite_match_numeric(spark, sf_dir):
-    b, r = derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), parsed_refs(spark, sf_dir).where("doc_id % 2 = 0")
+    b, r = derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), labelled_refs(spark, sf_dir).where("doc_id % 2 = 0")
     return citations.match_numbers(citations.bracket_mentions(b), r).select("doc_id", "pos", "mention", "item", "number", "k")
 
 
@@ -153,8 +158,8 @@ def cite_match_author_year(spark, sf_dir):
 
 @query(f"SELECT doc_id, k, new_num, cited FROM ({NEW_NUMERIC}) z")
 def cite_renumber(spark, sf_dir):
-    """Flagship: raw references parsed, bracketed citations found and matched, references renumbered by first citation."""
-    return citations.numeric_order(derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), parsed_refs(spark, sf_dir).where("doc_id % 2 = 0"))
+    """Flagship: labels read from raw references, bracketed citations found and matched, references renumbered by first citation."""
+    return citations.numeric_order(derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), labelled_refs(spark, sf_dir).where("doc_id % 2 = 0"))
 
 
 @query(f"SELECT doc_id, k, new_num, cited FROM ({NEW_DATED}) z")

@@ -10,6 +10,7 @@ from vellum.functions import text as tx
 from vellum.operators import classify as cl
 from vellum.operators import latex, learning, runs, specs
 from vellum.sources import derived
+from vellum.sources.shared import written
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -145,7 +146,7 @@ def algo_blocks(spark, sf_dir):
 def role_classify(spark, sf_dir):
     b = derived.blocks(spark, sf_dir).where("doc_id % 7 <> 0 AND role NOT IN ('figure', 'table')")
     p = b.select("doc_id", "pos", "text", F.lit("").alias("style"), F.when(F.col("role") == "title", 16.0).otherwise(11.0).alias("size"), F.col("role").isin("title", "heading").alias("bold"), F.lit(False).alias("is_list"))
-    return cl.classify(p).select("doc_id", "pos", "role")
+    return cl.classify(written(p)).select("doc_id", "pos", "role")
 
 
 @query(f"SELECT DISTINCT family1 AS family, lower(translate(family1, {lit(A)}, {lit(B)})) AS folded FROM {REFS} r")
