@@ -29,6 +29,10 @@ from vellum.llm import hashing, linking
 from vellum.llm.common import cut, flat_bytes, row_slices, text_column
 
 TAU = 2
+#: Bytes are counted by class in lanes of 8 bits, LANES classes to a number; an edit changes two counts by one at most.
+LANES = 7
+#: Columns of such counts, each with classes of its own.
+COUNTS = ("s1", "s2", "s3", "s4")
 WIDTH = 64
 FULL = (1 << WIDTH) - 1
 
@@ -92,6 +96,23 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
+def class_counts(body: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """The counts of each line's bytes in LANES classes, one after another in a number (modulo its size)."""
+    lane = (hashing.mix(np.arange(256, dtype=np.uint64) + np.uint64(salt << 8)) % np.uint64(LANES)) * np.uint64(8)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.uint64(1) << lane)[body])])
+    return ((sums[end] - sums[start]) & np.uint64((1 << 8 * LANES) - 1)).astype(np.int64)
+
+
+def close_counts(x: str, y: str):
+    """Whether two lines' class counts differ by 2 * TAU in sum at most, as they do within TAU edits. Lanes are read as signed
+    digits, exact for small differences; large ones may pass by chance."""
+    ok = F.lit(True)
+    for c in COUNTS:
+        d = F.col(f"{x}.{c}") - F.col(f"{y}.{c}") + sum(128 << 8 * i for i in range(LANES))
+        ok &= sum(F.abs(F.shiftright(d, 8 * i).bitwiseAND(F.lit(255).cast("bigint")) - 128) for i in range(LANES)) <= 2 * TAU
+    return ok
+
+
 class Lines:
     """The lines of min_bytes or more of some rows' bytes."""
 
@@ -107,6 +128,7 @@ class Lines:
         self.number = following[keep] - np.searchsorted(breaks, offsets[self.row])
         self.sums = hashing.prefix_sums(body)
         self.ids = hashing.substrings(self.sums, self.start, self.end) & ~np.uint64(1)
+        self.body = body
 
     def part(self, start: np.ndarray, end: np.ndarray, length: np.ndarray, segment: int) -> np.ndarray:
         tag = hashing.mix(length.astype(np.uint64) * np.uint64(TAU + 1) + np.uint64(segment + 1))
@@ -134,8 +156,8 @@ class Lines:
 
 
 def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) -> DataFrame:
-    """Lines (doc_id, line, id) with a null blob, and postings (bucket, blob)."""
-    names = ["doc_id", "line", "id", "bucket", "blob"]
+    """Lines (doc_id, line, id, class counts) with a null blob, and postings (bucket, blob)."""
+    names = ["doc_id", "line", "id", *COUNTS, "bucket", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -146,7 +168,7 @@ def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) ->
             held.clear()
             rows = list(linking.deal([key, owner], buckets, key))
             none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([none] * (3 + len(COUNTS)) + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
         for b in batches:
             body, offsets = flat_bytes(b.column(1))
@@ -154,7 +176,8 @@ def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) ->
                 lines = Lines(body[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], min_bytes)
                 n = len(lines.ids)
                 docs_of = b.column(0).take(pa.array(lines.row + first))
-                yield pa.RecordBatch.from_arrays([docs_of, pa.array(lines.number), pa.array(lines.ids.view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                counts = [pa.array(class_counts(lines.body, lines.start, lines.end, salt)) for salt in range(1, len(COUNTS) + 1)]
+                yield pa.RecordBatch.from_arrays([docs_of, pa.array(lines.number), pa.array(lines.ids.view(np.int64)), *counts, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
                 _, which = np.unique(lines.ids, return_index=True)
                 which = which[(lines.end - lines.start)[which] >= edit_bytes]
                 which = which[~np.isin(lines.ids[which], seen)]
@@ -166,7 +189,7 @@ def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) ->
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id bigint, line bigint, id bigint, bucket int, blob binary")
+    return docs.mapInArrow(run, "doc_id bigint, line bigint, id bigint, " + "".join(f"{c} bigint, " for c in COUNTS) + "bucket int, blob binary")
 
 
 def live(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -220,9 +243,10 @@ def removed_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32) ->
     buckets = linking.bucket_count(linking.text_bytes(picked))
     made = cut(line_rows(picked, buckets, min_bytes, edit_bytes))
     lines = made.where("blob is null").select("doc_id", "line", "id")
+    traits = made.where("blob is null").select("id", *COUNTS)
     blobs = made.where("blob is not null").select("bucket", "blob")
     postings = cut(linking.by_bucket(blobs, buckets, live, 2, ["key", "id"]))
-    labels = linking.components(linking.resolve(postings, lambda pairs: near_lines(pairs, picked, min_bytes)))
+    labels = linking.components(linking.resolve(postings, lambda pairs: near_lines(pairs, picked, min_bytes), traits, close_counts))
     classed = lines.join(labels, "id", "left").select("doc_id", "line", F.coalesce("label", "id").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = classed.join(first, "class").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))

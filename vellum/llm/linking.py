@@ -113,20 +113,22 @@ def live_postings(columns: list[np.ndarray], need: int = 0) -> list[np.ndarray]:
     return [key[keep], ident[keep]]
 
 
-def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
     """Links (a, b) that connect what the postings (key, id) and the verification of pairs (a < b) allow: every component of
-    the full link graph is connected by them. The postings are read several times; pass written ones."""
+    the full link graph is connected by them. The postings are read several times; pass written ones. traits: columns
+    beside id; near("x", "y"), over them as x.* and y.*, must hold for every link and spares pairs that can't be one."""
     pivot = postings.groupBy("key").agg(F.min("id").alias("a"))
-    star = postings.join(pivot, "key").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    star = cut(postings.join(pivot, "key").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct())
     links = cut(verify(star))
     labels = components(links)
     named = postings.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("key")
     rest = cut(named.join(open_keys, "key"))
-    x, y = (rest.select("key", F.col("id").alias(i), F.col("label").alias(f"label_{i}")) for i in "ab")
-    pairs = x.join(y, "key").where((F.col("label_a") < F.col("label_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = star.withColumn("seen", F.lit(True))
-    pairs = pairs.join(known, ["a", "b"], "left_anti")
+    own = traits.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    rest = cut(rest.join(own, "id"))
+    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near("x", "y"))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = pairs.join(star.withColumn("seen", F.lit(True)), ["a", "b"], "left_anti")
     return links.unionByName(cut(verify(pairs)))
 
 
@@ -142,6 +144,20 @@ def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
+def spots(column: str, bits: int = BLOOM_BITS) -> list[Column]:
+    """The three places of a bigint column in a filter, as columns for a function that takes Arrow batches anyway."""
+    return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)).alias(f"_spot{i}") for i in range(3)]
+
+
+def hits(table: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows of a batch with such places the filter lets through."""
+    ok = np.ones(batch.num_rows, bool)
+    for i in range(3):
+        spot = batch.column(f"_spot{i}").to_numpy()
+        ok &= (table[spot >> 6] >> (spot & 63)) & 1 == 1
+    return ok
+
+
 def passes(spark_filter: np.ndarray, column: str) -> Column:
     """Whether the filter lets a bigint column through."""
     bits = len(spark_filter) * 64
