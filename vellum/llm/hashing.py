@@ -14,7 +14,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that are hashed at once: what bounds a worker's memory.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 

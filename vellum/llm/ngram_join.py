@@ -2,13 +2,13 @@
 
 1. Words are A-Z lower-cased and split at ASCII white space; a set is the document's distinct 5-word shingles (as
    64-bit hashes), the whole sequence if it is shorter. Documents with equal sets collapse to one representative.
-2. All shingles have one order: those frequent within some task's documents last (rarest first; a bounded list of
-   `demoted` shingles that only orders, so nothing depends on it but speed), else by hash. Two sets that reach the
+2. All shingles have one order: those of many documents last, the most frequent at the end, counted over the
+   whole corpus (a bounded list, and it only orders, so nothing depends on it but speed), else by hash. Two sets that reach the
    threshold share a shingle among the first n - ceil(t * n) + 1 of each.
 3. Representatives with the same prefix and size form a group; a group is posted once under each prefix shingle.
 4. Groups that share a shingle are candidates. Group pairs are filtered to those that can still connect something
    (see linking.resolve: the smallest group of a shingle first, then only pairs across components), expanded to
-   members of sizes within the threshold, and verified on the whole sets.
+   members of sizes and shapes within the threshold, and verified on the whole sets.
 
 Nulls: a null or empty text, or one of white space only, has an empty set and is linked with nothing. Ids must be
 unique; rows with a null id are left out. Ties and repeated texts share a set. Empty tables give no rows. Only the id
@@ -28,6 +28,8 @@ from vellum.llm import hashing, linking
 from vellum.llm.common import cut, flat_bytes, row_slices, text_column
 
 NUM, DEN = 75, 100
+#: Cells of a set's shape: how many of its shingles fall into each, which bounds the overlap of two sets from above.
+SHAPE = 256
 
 
 def sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -40,24 +42,75 @@ def sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield (first, *hashing.distinct_by_row(values, owner, last - first))
 
 
-def frequent(docs: DataFrame, local: int, demoted: int) -> np.ndarray:
-    """Shingles found in `local` or more documents of one task, the most frequent ones, ascending: at most `demoted`."""
+def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, demoted: int = 500_000) -> tuple[int, np.ndarray]:
+    """(bits, fingerprints ascending) of the most frequent shingles of the whole corpus: those in `least` or more documents, at
+    most `demoted`. A fingerprint is a shingle's upper bits, enough that few collide. What is shuffled are sorted
+    fingerprints as differences, two bytes each as a rule."""
+    bits = min(60, max(32, int(np.log2(max(total_bytes, 2))) + 4))
+    down = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            nonlocal size
+            v = np.sort(np.concatenate(held))
+            held.clear()
+            size = 0
+            bucket = fingerprint_bucket(v, bits, buckets)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows = []
+            for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                if y > x:
+                    part = v[x:y]
+                    steps = np.diff(part)
+                    kind = np.uint16 if not len(steps) or steps.max() < 1 << 16 else np.uint64
+                    rows.append((i, part[:1].tobytes() + (b"2" if kind is np.uint16 else b"8") + steps.astype(kind).tobytes()))
+            return linking.blob_batch(rows)
+
+        for b in batches:
+            for _, v, _ in sets(b.column(0)):
+                held.append(v >> down)
+                size += len(v)
+                if size > 1_000_000:
+                    yield flush()
+        if size:
+            yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
         for b in batches:
-            got = [v for _, v, _ in sets(b.column(0))]
-            v, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = n >= local
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(bucket, []).append(blob)
+        while held:
+            _, blobs = held.popitem()
+            parts = []
+            for x in blobs:
+                first = np.frombuffer(x[:8], np.uint64)
+                steps = np.frombuffer(x[9:], np.uint16 if x[8:9] == b"2" else np.uint64).astype(np.uint64)
+                parts.append(np.concatenate([first, first + np.cumsum(steps)]))
+            v, n = np.unique(np.concatenate(parts), return_counts=True)
+            keep = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep].astype(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(demoted).select("shingle").toArrow()
-    return np.sort(top.column("shingle").to_numpy().view(np.uint64))
+    blobs = docs.select("text").mapInArrow(run, "bucket int, blob binary").repartition(buckets, "bucket")
+    counted = cut(blobs.mapInArrow(count, "shingle bigint, n bigint"))
+    top = counted.orderBy(F.desc("n"), "shingle").limit(demoted).toArrow()
+    order = np.argsort(top.column("shingle").to_numpy(), kind="stable")
+    return bits, np.stack([top.column("shingle").to_numpy()[order].astype(np.uint64), top.column("n").to_numpy()[order].astype(np.uint64)])
 
 
-def prefix_rows(docs: DataFrame, last: np.ndarray, buckets: int, per_task_memory: int = 1 << 21) -> DataFrame:
+def fingerprint_bucket(v: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Ranges of equal width, so that sorted fingerprints fall into buckets in order."""
+    width = np.uint64(-(-(1 << bits) // buckets))
+    return (v // width).astype(np.int64)
+
+
+def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, per_task_memory: int = 1 << 20) -> DataFrame:
     """Two kinds of rows: documents (doc_id, n, set_a, set_b, grp) with a null blob, and postings (bucket, blob of (shingle, grp))."""
-    schema = "doc_id bigint, n bigint, set_a bigint, set_b bigint, grp bigint, bucket int, blob binary"
+    schema = "doc_id bigint, n bigint, set_a bigint, set_b bigint, grp bigint, shape binary, bucket int, blob binary"
+    down, (last, seen_in) = np.uint64(64 - common[0]), common[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -70,19 +123,20 @@ def prefix_rows(docs: DataFrame, last: np.ndarray, buckets: int, per_task_memory
             size = 0
             rows = list(linking.deal([key, grp], buckets, key))
             none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 5 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([none] * 5 + [pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
         names = [x.split()[0] for x in schema.split(", ")]
         seen: set[int] = set()
         for b in batches:
             n_all, a_all, b_all, g_all = (np.zeros(b.num_rows, t) for t in (np.int64, np.uint64, np.uint64, np.uint64))
+            shapes: list[bytes] = []
             for first, values, begin in sets(b.column(1)):
                 count = np.diff(begin)
                 rows = np.repeat(np.arange(len(count)), count)
-                late = np.zeros(len(values), bool)
+                late = np.zeros(len(values), np.uint64)  # in how many documents, if that is many
                 if len(last):
-                    at = np.minimum(np.searchsorted(last, values), len(last) - 1)
-                    late = last[at] == values
+                    at = np.minimum(np.searchsorted(last, values >> down), len(last) - 1)
+                    late = np.where(last[at] == values >> down, seen_in[at], np.uint64(0))
                 order = np.lexsort((values, late, rows))  # within a row, the frequent ones last
                 values = values[order]
                 place = np.arange(len(values)) - np.repeat(begin[:-1], count)
@@ -98,6 +152,8 @@ def prefix_rows(docs: DataFrame, last: np.ndarray, buckets: int, per_task_memory
                     weighted = np.where(inside, hashing.mix(values ^ hashing.mix(place.astype(np.uint64))), np.uint64(0))
                     g[some] = hashing.mix(np.add.reduceat(weighted, at) + count[some].astype(np.uint64))
                 n_all[own], g_all[own] = count, g
+                cells = np.bincount(rows * SHAPE + (values & np.uint64(SHAPE - 1)).astype(np.int64), minlength=len(count) * SHAPE)
+                shapes += [x.tobytes() for x in np.minimum(cells, 255).astype(np.uint8).reshape(-1, SHAPE)]
                 fresh = np.array([x not in seen for x in g.tolist()], bool) & some
                 seen.update(g[some].tolist())
                 if len(seen) > 500_000:
@@ -109,7 +165,7 @@ def prefix_rows(docs: DataFrame, last: np.ndarray, buckets: int, per_task_memory
                     yield postings()
             nulls = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_all), pa.array(a_all.view(np.int64)), pa.array(b_all.view(np.int64)), pa.array(g_all.view(np.int64)), pa.nulls(nulls, pa.int32()), pa.nulls(nulls, pa.binary())], names=names
+                [b.column(0), pa.array(n_all), pa.array(a_all.view(np.int64)), pa.array(b_all.view(np.int64)), pa.array(g_all.view(np.int64)), pa.array(shapes, pa.binary()), pa.nulls(nulls, pa.int32()), pa.nulls(nulls, pa.binary())], names=names
             )
         if size:
             yield postings()
@@ -125,6 +181,7 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(linking.hits(needed, b)))
             blobs: list[bytes] = []
             for _, values, begin in sets(b.column(1)):
                 blobs += [values[i:j].tobytes() for i, j in zip(begin, begin[1:])]
@@ -133,7 +190,8 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for i in range(b.num_rows):
+                x, y = b.column(2)[i].as_py(), b.column(3)[i].as_py()
                 m, n = len(x) // 8, len(y) // 8
                 ok = min(m, n) * DEN >= max(m, n) * NUM
                 if ok:
@@ -143,38 +201,60 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(ok)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = docs.where(linking.passes(needed, "doc_id")).mapInArrow(run, "id bigint, shingles binary")
+    wanted = docs.select("doc_id", "text", *linking.spots("doc_id")).mapInArrow(run, "id bigint, shingles binary")
     left = wanted.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = wanted.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
     return full.mapInArrow(judge, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, local: int = 3, demoted: int = 500_000) -> DataFrame:
+def may_overlap(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and shapes allow the threshold; an upper bound, so no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (flat_bytes(b.column(i))[0].reshape(-1, SHAPE) for i in (4, 5))
+            most = np.minimum(x, y).astype(np.int64).sum(1) + ((x == 255) & (y == 255)).sum(1) * (1 << 30)
+            m, n = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ok = (DEN + NUM) * most >= NUM * (m + n)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).where("doc_id is not null")
-    buckets = linking.bucket_count(linking.text_bytes(docs))
-    made = cut(prefix_rows(docs, frequent(docs, local, demoted), buckets))
-    described = made.where("blob is null").select("doc_id", "n", "set_a", "set_b", "grp")
+    total = linking.text_bytes(docs)
+    buckets = linking.bucket_count(total)
+    made = cut(prefix_rows(docs, frequent(docs, buckets, total), buckets))
+    described = made.where("blob is null").select("doc_id", "n", "set_a", "set_b", "grp", "shape")
     blobs = made.where("blob is not null").select("bucket", "blob")
     posted = linking.by_bucket(blobs, buckets, linking.live_postings, 2, ["key", "grp"])
     by_set = described.where("n > 0").groupBy("set_a", "set_b", "n", "grp").agg(F.min("doc_id").alias("rep"))
     reps = cut(by_set)
+    described_reps = described.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "shape")
     # a group's members are candidates of each other, and of the members of every group that shares a prefix shingle
     first = reps.groupBy("grp").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
     heads = posted.join(first, "grp").select("key", F.col("first").alias("id"))
     inside = reps.join(first.where("members > 1"), "grp").select(F.col("grp").alias("key"), F.col("rep").alias("id"))
     others = posted.join(reps.join(first.where("members > 1"), "grp").where("rep != first").select("grp", "rep"), "grp").select("key", F.col("rep").alias("id"))
     postings = cut(heads.unionByName(inside).unionByName(others).distinct())
-    sizes = reps.select("rep", "n")
+    sizes = cut(described_reps)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x = sizes.select(F.col("rep").alias("a"), F.col("n").alias("na"))
-        y = sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
+        x = sizes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shape").alias("xa"))
+        y = sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shape").alias("xb"))
         near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
-        return similar(near.select("a", "b"), docs)
+        return similar(may_overlap(near), docs)
+
+    def similar_size(x: str, y: str):
+        m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return F.least(m, n) * DEN >= F.greatest(m, n) * NUM
 
-    labels = linking.components(linking.resolve(postings, verify))
+    labels = linking.components(linking.resolve(postings, verify, sizes.select(F.col("rep").alias("id"), "n"), similar_size))
     of_set = reps.join(labels, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n", F.coalesce("label", "rep").alias("label"))
-    out = described.join(of_set, ["set_a", "set_b", "n"], "left")
+    out = described.drop("shape").join(of_set, ["set_a", "set_b", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
