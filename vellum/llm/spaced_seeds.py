@@ -4,7 +4,7 @@ A seed is a fixed mask over a few neighbouring words: the words at its places ar
 so a substituted word there changes nothing. Every mask is applied at every place of the test items and of the
 documents; equal hashes propose an alignment (item, document, distance), which is then verified over the whole item:
 a document holds an item if some WINDOW aligned words (the whole item, if it is shorter) differ in at most ALLOWED
-words. The three masks together hit every window of 13 words with any 3 of them substituted (tested exhaustively), so
+words; a word that the document lacks counts as different. The three masks together hit every window of 13 words with any 3 of them substituted (tested exhaustively), so
 no such overlap is missed. Items of 9 to 12 words allow one substitution, shorter ones none (a mask of all their words
 finds those).
 
