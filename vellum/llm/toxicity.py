@@ -1,7 +1,7 @@
 """Toxicity as expected severity from cumulative-link (proportional-odds) ordinal regression on sparse text features.
 
 P(grade <= j | x) = 1 / (1 + exp(-(theta_j - w.x))): one weight vector for all thresholds theta_0 < theta_1 < ...; the
-expected severity is the sum over j of P(grade > j). Features are the distinct words of the lower-cased text, each
+expected severity is the sum over j of P(grade > j). Features are the distinct words of the lower-cased text and their beginnings, each
 weighing 1 if present: repeated words or rows change nothing in a score.
 
 Fit: on at most `sample` labelled rows, those of smallest hash of their id (parameter; 20,000 by default), so what
@@ -32,7 +32,9 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """The distinct words, and the beginnings of 4 and 5 letters of longer ones (marked by "-"), which inflected forms share."""
+    own = set(WORD.findall(text.lower()))
+    return own | {f"{w[:4]}-" for w in own if len(w) > 4} | {f"{w[:5]}-" for w in own if len(w) > 5}
 
 
 @dataclass(frozen=True)
@@ -143,7 +145,7 @@ def train_from(docs: DataFrame, labels: DataFrame, grade: str, sample: int = 20_
     return train([np.array(known[i], np.int64) for i in order], grades, vocabulary)
 
 
-def score(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """doc_id, severity (rounded to 6 places) and toxic (severity >= cut) of each row. A map: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).mapInArrow(run, "doc_id bigint, severity double, toxic boolean")
 
 
-def keep_below(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+def keep_below(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """The rows of lower severity, with all their columns. A map: no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
