@@ -19,7 +19,7 @@ from vellum.llm.common import checkpoint_dir, table
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of expected severity 0.5 or more go. The model is fitted on a bounded sample of labelled rows."""
+    """Documents of expected severity 0.3 or more go. The model is fitted on a bounded sample of labelled rows."""
     model = toxicity.train_from(docs, table(spark, sf_dir, "labels"), registry.GRADE)
     return toxicity.keep_below(docs, model)
 
