@@ -324,7 +324,7 @@ def fit_table_widths(spark, sf_dir):
     return w.select("l_orderkey", "l_linenumber", F.when(total > 9000, F.expr("w * 9000 div sum(w) over (partition by l_orderkey)")).otherwise(F.col("w")).cast("bigint").alias("width"))
 
 
-_KW = {"as-is": ("alpha; Beta gamma; IoT; delta", "Alpha; beta (x, y); GAMMA", "one; two; Three word term"), "title": ("Alpha; Beta Gamma; IoT; Delta", "Alpha; Beta (x, Y); GAMMA", "One; Two; Three Word Term"), "lower-first": ("Alpha; beta gamma; IoT; delta", "Alpha; beta (x, y); GAMMA", "One; two; three word term")}
+_KW = {"as-is": ("alpha; Beta gamma; IoT; delta", "Alpha; beta (x, y); GAMMA", "one; two; Three word term"), "title": ("Alpha; Beta Gamma; IoT; Delta", "Alpha; Beta (x, Y); Gamma", "One; Two; Three Word Term"), "lower-first": ("Alpha; beta gamma; IoT; delta", "Alpha; beta (x, y); GAMMA", "One; two; three word term")}
 
 
 @query("SELECT doc_id, " + ", ".join(f"CASE doc_id % 3 WHEN 0 THEN {lit(v[0])} WHEN 1 THEN {lit(v[1])} ELSE {lit(v[2])} END AS {c.replace('-', '_')}" for c, v in _KW.items()) + ", CAST(CASE doc_id % 3 WHEN 0 THEN 4 ELSE 3 END AS BIGINT) AS n FROM documents")
