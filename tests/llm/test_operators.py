@@ -256,3 +256,15 @@ def test_html_extraction(spark):
     joined = html_wrapper.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), closure_bytes=0)
     assert {r["page_id"]: r["text"] for r in joined.collect()} == {i: r["text"] for i, r in got.items()}
     assert html_wrapper.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_html_text_comes_through_the_wrapper(spark):
+    page = "<html><body><article><h1>Title {i}</h1><p{mark}>Own text {i}</p><div>Read us every day</div></article></body></html>"
+    rows = [(i, "http://h.example/", page.format(i=i, mark=" id='share-7'" if i == 3 else "")) for i in range(20)]
+    rows += [(100 + i, "http://few.example/", page.format(i=i, mark="")) for i in range(3)]
+    for closure_bytes in (1 << 20, 0):
+        pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+        got = {r["page_id"]: r for r in html_wrapper.extract(pages, closure_bytes=closure_bytes).collect()}
+        assert all(r["by_wrapper"] for r in got.values())
+        assert all(got[i]["text"] == f"Title {i}\n\nOwn text {i}" for i in range(20))
+        assert all(got[100 + i]["text"] == f"Title {i}\n\nOwn text {i}\n\nRead us every day" for i in range(3))
