@@ -268,3 +268,31 @@ def test_html_text_comes_through_the_wrapper(spark):
         assert all(r["by_wrapper"] for r in got.values())
         assert all(got[i]["text"] == f"Title {i}\n\nOwn text {i}" for i in range(20))
         assert all(got[100 + i]["text"] == f"Title {i}\n\nOwn text {i}\n\nRead us every day" for i in range(3))
+
+
+def test_lines_with_one_word_changed(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6, 11)))
+    lines = ["\u8fd9\u662f\u4e00\u4e2a\u5f88\u957f\u7684\u53e5\u5b50\u7528\u6765\u6d4b\u8bd5", "\u8fd9\u662f\u4e00\u4e2a\u5f88\u957f\u7684\u53e5\u5b50\u7528\u6765\u8003\u8bd5", "five words are too few for that", "aword bword cword dword eword fword \U0001f600", "aword bword cword dword eword fword \U0001f680"]
+    for n in (5, 6, 7, 15, 16, 17, 18, 19, 40):
+        w = [word() for _ in range(n)]
+        at = rng.randrange(n)
+        far = list(w)
+        far[0], far[-1] = word(), word()
+        lines += [" ".join(v) for v in (w, w[:at] + [word()] + w[at + 1 :], w[:at] + [word()] + w[at:], w[:at] + w[at + 1 :], far)]
+    rng.shuffle(lines)
+    link = lambda x, y: line_dedup.one_word_changed(x, y) or (min(len(x), len(y)) >= 32 and line_dedup.edit_distance(x, y, 2) <= 2)
+    # the definition on its own: lists of words less one word each
+    less = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
+    for x, y in itertools.product(lines, repeat=2):
+        a, b = (tuple(re.findall(r"[\u3000-\u9fff\U00010000-\U0010ffff]|[^\s\u3000-\u9fff\U00010000-\U0010ffff]+", v)) for v in (x, y))
+        same = any(a[:i] + a[i + 1 :] == b[:i] + b[i + 1 :] for i in range(len(a))) if len(a) == len(b) else a in less(b) or b in less(a)
+        assert line_dedup.one_word_changed(x.encode(), y.encode()) == (min(len(a), len(b)) >= 6 and same)
+    classes: list[list] = []
+    for i, x in enumerate(lines):
+        linked = [c for c in classes if any(min(len(x.encode()), len(lines[o].encode())) >= 32 and link(x.encode(), lines[o].encode()) for o in c)]
+        classes = [c for c in classes if c not in linked] + [sum(linked, []) + [i]]
+    gone = {i for c in classes for i in sorted(c)[1:]}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs, words=True).where("n_removed > 0").collect()} == gone
+    assert len(gone) > 20

@@ -5,7 +5,13 @@ Cut into TAU + 1 segments, a line that is within TAU edits of another keeps at l
 is indexed under (length, segment number, segment) and probes, for each length that a partner may have, the substrings
 at the few places where that segment can still stand (the multi-match-aware ranges for a length difference). Lines
 that meet under a key are candidates; an edit distance on a band of diagonals, one machine word wide and bit-parallel,
-verifies them. See linking.resolve for how groups of copies are linked without all their pairs.
+verifies them.
+
+With `words`, lines of MIN_WORDS words or more are near-duplicates as well if one word was put in, taken out or replaced,
+of whatever length it is; a CJK character or an emoji counts as a word (see WORD). Lines of up to WHOLE words are found by
+their words without one each, longer ones by their first or last half, which one changed word leaves whole.
+
+See linking.resolve for how groups of copies are linked without all their pairs.
 
 Lines linked directly or over others are one class. The first line of each class (by doc_id, then line number) stays;
 the others are removed. Lines shorter than min_bytes stay untouched (a brace or "Yes." is no boilerplate); equal lines
@@ -18,6 +24,7 @@ Empty tables give empty ones. All columns of the input are kept; only the text c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +40,11 @@ TAU = 2
 LANES = 7
 #: Columns of such counts, each with classes of its own.
 COUNTS = ("s1", "s2", "s3", "s4")
+#: The same of words: one changed word changes two counts by one at most.
+WORD_COUNTS = ("w1", "w2")
+WORD = re.compile(rb"[\xE3-\xE9]..|[\xF0-\xF4]...|[^\x20\x09-\x0D\xE3-\xE9\xF0-\xF4]+", re.S)
+MIN_WORDS = 6
+WHOLE = 16
 WIDTH = 64
 FULL = (1 << WIDTH) - 1
 
@@ -103,14 +115,33 @@ def class_counts(body: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int
     return ((sums[end] - sums[start]) & np.uint64((1 << 8 * LANES) - 1)).astype(np.int64)
 
 
-def close_counts(x: str, y: str):
-    """Whether two lines' class counts differ by 2 * TAU in sum at most, as they do within TAU edits. Lanes are read as signed
-    digits, exact for small differences; large ones may pass by chance."""
-    ok = F.lit(True)
-    for c in COUNTS:
-        d = F.col(f"{x}.{c}") - F.col(f"{y}.{c}") + sum(128 << 8 * i for i in range(LANES))
-        ok &= sum(F.abs(F.shiftright(d, 8 * i).bitwiseAND(F.lit(255).cast("bigint")) - 128) for i in range(LANES)) <= 2 * TAU
-    return ok
+def one_word_changed(x: bytes, y: bytes) -> bool:
+    """Whether lines of MIN_WORDS words or more differ in at most one word, put in, taken out or replaced."""
+    a, b = WORD.findall(x), WORD.findall(y)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < MIN_WORDS or len(b) - len(a) > 1:
+        return False
+    at = next((i for i, (v, w) in enumerate(zip(a, b)) if v != w), len(a))
+    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+
+
+def near(x: bytes, y: bytes, words: bool) -> bool:
+    return (words and one_word_changed(x, y)) or edit_distance(x, y, TAU) <= TAU
+
+
+def close_counts(x: str, y: str, words: bool = False):
+    """Whether two lines' class counts differ by 2 * TAU in sum at most, as they do within TAU edits; or, with words, their
+    words' by 2. Lanes are read as signed digits, exact for small differences; large ones may pass by chance."""
+
+    def close(columns, most):
+        ok = F.lit(True)
+        for c in columns:
+            d = F.col(f"{x}.{c}") - F.col(f"{y}.{c}") + sum(128 << 8 * i for i in range(LANES))
+            ok &= sum(F.abs(F.shiftright(d, 8 * i).bitwiseAND(F.lit(255).cast("bigint")) - 128) for i in range(LANES)) <= most
+        return ok
+
+    return close(COUNTS, 2 * TAU) | close(WORD_COUNTS, 2) if words else close(COUNTS, 2 * TAU)
 
 
 class Lines:
@@ -155,9 +186,67 @@ class Lines:
         return np.concatenate(keys), np.concatenate(owners)
 
 
-def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) -> DataFrame:
+class Words:
+    """The words of some lines, as WORD finds them."""
+
+    def __init__(self, lines: Lines, offsets: np.ndarray):
+        body = lines.body
+        inside = ~hashing.SPACE[body]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        for low, high, size in ((0xE3, 0xE9, 3), (0xF0, 0xF4, 4)):
+            lead = np.flatnonzero((body >= low) & (body <= high))
+            first[lead] = True
+            after = lead + size
+            first[after[after < len(body)]] = True
+        first[offsets[:-1][offsets[:-1] < len(body)]] = True
+        first &= inside
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | first[1:]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.hashes = hashing.substrings(lines.sums, start, end)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * hashing.powers(len(start)))])
+        self.first, self.end = np.searchsorted(start, lines.start), np.searchsorted(start, lines.end)
+
+    def counts(self, salt: int) -> np.ndarray:
+        """As class_counts, of words."""
+        lane = (hashing.mix(self.hashes + np.uint64(salt)) % np.uint64(LANES)) * np.uint64(8)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.uint64(1) << lane)])
+        return ((sums[self.end] - sums[self.first]) & np.uint64((1 << 8 * LANES) - 1)).astype(np.int64)
+
+    def postings(self, which: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As Lines.postings. Lines within one word of each other share a key that one of them has with a lowest bit of 0."""
+        n = (self.end - self.first)[which]
+        which, n = which[n >= MIN_WORDS], n[n >= MIN_WORDS]
+        first, end, ids = self.first[which], self.end[which], ids[which]
+        down = hashing.powers(len(self.sums) + 1, "down")
+        keys, owners = [], []
+
+        def add(value: np.ndarray, at: np.ndarray, tag: int, length: np.ndarray, owner: np.ndarray, probe: int) -> None:
+            label = hashing.mix(length.astype(np.uint64) * np.uint64(4) + np.uint64(tag)) ^ np.uint64(0x5851F42D4C957F2D)
+            keys.append(hashing.mix(value * down[at] ^ label))
+            owners.append(owner | np.uint64(probe))
+
+        short = n <= WHOLE
+        add(self.sums[end[short]] - self.sums[first[short]], first[short], 0, n[short], ids[short], 0)
+        short = np.flatnonzero(n <= WHOLE + 1)  # the longest ones meet lines of a word less
+        line = np.repeat(short, n[short])
+        gone = np.arange(len(line)) - np.repeat(np.cumsum(n[short]) - n[short], n[short]) + first[line]
+        rest = (self.sums[gone] - self.sums[first[line]]) + (self.sums[end[line]] - self.sums[gone + 1]) * down[1]
+        add(rest, first[line], 0, n[line] - 1, ids[line], 0)
+        for less in (0, 1):
+            long = n - less > WHOLE
+            length, half = n[long] - less, (n[long] - less) // 2
+            a, b, c = first[long], end[long], end[long] - (length - half)
+            add(self.sums[a + half] - self.sums[a], a, 1, length, ids[long], less)
+            add(self.sums[b] - self.sums[c], c, 2, length, ids[long], less)
+        return np.concatenate(keys), np.concatenate(owners)
+
+
+def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int, words: bool) -> DataFrame:
     """Lines (doc_id, line, id, class counts) with a null blob, and postings (bucket, blob)."""
-    names = ["doc_id", "line", "id", *COUNTS, "bucket", "blob"]
+    columns = [*COUNTS, *(WORD_COUNTS if words else ())]
+    names = ["doc_id", "line", "id", *columns, "bucket", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,7 +257,7 @@ def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) ->
             held.clear()
             rows = list(linking.deal([key, owner], buckets, key))
             none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([none] * (3 + len(COUNTS)) + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([none] * (3 + len(columns)) + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
         for b in batches:
             body, offsets = flat_bytes(b.column(1))
@@ -177,6 +266,9 @@ def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) ->
                 n = len(lines.ids)
                 docs_of = b.column(0).take(pa.array(lines.row + first))
                 counts = [pa.array(class_counts(lines.body, lines.start, lines.end, salt)) for salt in range(1, len(COUNTS) + 1)]
+                if words:
+                    found = Words(lines, offsets[first : last + 1] - offsets[first])
+                    counts += [pa.array(found.counts(salt)) for salt in range(1, len(WORD_COUNTS) + 1)]
                 yield pa.RecordBatch.from_arrays([docs_of, pa.array(lines.number), pa.array(lines.ids.view(np.int64)), *counts, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
                 _, which = np.unique(lines.ids, return_index=True)
                 which = which[(lines.end - lines.start)[which] >= edit_bytes]
@@ -184,12 +276,14 @@ def line_rows(docs: DataFrame, buckets: int, min_bytes: int, edit_bytes: int) ->
                 if len(which):
                     seen = np.union1d(seen, lines.ids[which]) if len(seen) < 1_000_000 else np.sort(lines.ids[which])
                     held.append(lines.postings(which, edit_bytes))
+                    if words:
+                        held.append(found.postings(which, lines.ids))
                 if sum(len(h[0]) for h in held) > 1_500_000:
                     yield flush()
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id bigint, line bigint, id bigint, " + "".join(f"{c} bigint, " for c in COUNTS) + "bucket int, blob binary")
+    return docs.mapInArrow(run, "doc_id bigint, line bigint, id bigint, " + "".join(f"{c} bigint, " for c in columns) + "bucket int, blob binary")
 
 
 def live(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -197,8 +291,8 @@ def live(columns: list[np.ndarray]) -> list[np.ndarray]:
     return linking.live_postings([key, owner & ~np.uint64(1), owner & np.uint64(1)], need=0)
 
 
-def near_lines(pairs: DataFrame, docs: DataFrame, min_bytes: int) -> DataFrame:
-    """Pairs (a, b) of line ids within TAU edits. Only lines in the pairs are shuffled."""
+def near_lines(pairs: DataFrame, docs: DataFrame, min_bytes: int, words: bool) -> DataFrame:
+    """Pairs (a, b) of line ids that are near-duplicates. Only lines in the pairs are shuffled."""
     pairs = cut(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     needed = linking.bloom_of_hashes(ids, "id")
@@ -226,36 +320,38 @@ def near_lines(pairs: DataFrame, docs: DataFrame, min_bytes: int) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [edit_distance(x, y, TAU) <= TAU for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            keep = [near(x, y, words) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.mapInArrow(run, "id bigint, line binary").groupBy("id").agg(F.min("line").alias("line"))
     texts = cut(texts)
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    near = pairs.join(right, "b").join(left, "a").where(F.abs(F.octet_length("x") - F.octet_length("y")) <= TAU)
-    return near.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
+    both = pairs.join(right, "b").join(left, "a")
+    if not words:
+        both = both.where(F.abs(F.octet_length("x") - F.octet_length("y")) <= TAU)
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
 
 
-def removed_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32) -> DataFrame:
+def removed_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32, words: bool = False) -> DataFrame:
     """doc_id, lines: the 0-based numbers of the lines to remove, for the documents that have any."""
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).where("doc_id is not null")
     buckets = linking.bucket_count(linking.text_bytes(picked))
-    made = cut(line_rows(picked, buckets, min_bytes, edit_bytes))
+    made = cut(line_rows(picked, buckets, min_bytes, edit_bytes, words))
     lines = made.where("blob is null").select("doc_id", "line", "id")
-    traits = made.where("blob is null").select("id", *COUNTS)
+    traits = made.where("blob is null").select("id", *COUNTS, *(WORD_COUNTS if words else ()))
     blobs = made.where("blob is not null").select("bucket", "blob")
     postings = cut(linking.by_bucket(blobs, buckets, live, 2, ["key", "id"]))
-    labels = linking.components(linking.resolve(postings, lambda pairs: near_lines(pairs, picked, min_bytes), traits, close_counts))
+    labels = linking.components(linking.resolve(postings, lambda pairs: near_lines(pairs, picked, min_bytes, words), traits, lambda x, y: close_counts(x, y, words)))
     classed = lines.join(labels, "id", "left").select("doc_id", "line", F.coalesce("label", "id").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = classed.join(first, "class").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     return cut(gone.groupBy("doc_id").agg(F.collect_list("line").alias("lines")))
 
 
-def dedup_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32, words: bool = False) -> DataFrame:
     """The rows with repeated lines cut from their text, plus n_lines (before) and n_removed."""
-    gone = removed_lines(docs, min_bytes, edit_bytes)
+    gone = removed_lines(docs, min_bytes, edit_bytes, words)
     docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
     touched = linking.passes(linking.bloom(gone, "doc_id"), "_key") & F.col("doc_id").isNotNull()
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")

@@ -86,7 +86,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of each document's text without its repeated lines."""
-    clean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words=True)
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
