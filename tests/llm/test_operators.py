@@ -296,3 +296,9 @@ def test_lines_with_one_word_changed(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
     assert {r["doc_id"] for r in line_dedup.dedup_lines(docs, words=True).where("n_removed > 0").collect()} == gone
     assert len(gone) > 20
+
+
+def test_short_lines_repeat_too(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\n\nfirst\n}"), (2, "All rights reserved.\n\nsecond\n \t\n}"), (3, "}\n\n \t"), (4, "All rights reserved!")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: ("All rights reserved.\n\nfirst\n}", 0), 2: ("\nsecond\n \t", 2), 3: ("\n \t", 1), 4: ("All rights reserved!", 0)}

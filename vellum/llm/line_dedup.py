@@ -14,8 +14,8 @@ their words without one each, longer ones by their first or last half, which one
 See linking.resolve for how groups of copies are linked without all their pairs.
 
 Lines linked directly or over others are one class. The first line of each class (by doc_id, then line number) stays;
-the others are removed. Lines shorter than min_bytes stay untouched (a brace or "Yes." is no boilerplate); equal lines
-are one class at any length from there on, near ones from edit_bytes on.
+the others are removed. Equal lines are one class at any length from min_bytes on, which is every line but blank ones
+(nothing but ASCII white space: they part paragraphs and stay); near ones from edit_bytes on.
 
 Nulls: a null text stays null and has no lines; an empty one has one empty line. Rows with a null id pass unchanged. Ids
 must be unique. Ties can't occur, since (doc_id, line number) is unique; repeated lines of one document count as well.
@@ -145,7 +145,7 @@ def close_counts(x: str, y: str, words: bool = False):
 
 
 class Lines:
-    """The lines of min_bytes or more of some rows' bytes."""
+    """The lines of min_bytes or more, blank ones left out, of some rows' bytes."""
 
     def __init__(self, body: np.ndarray, offsets: np.ndarray, min_bytes: int):
         breaks = np.flatnonzero(body == 10)
@@ -154,7 +154,8 @@ class Lines:
         row = np.searchsorted(offsets, start, "right") - 1
         following = np.searchsorted(breaks, start)
         end = np.minimum(np.append(breaks, len(body))[following], offsets[row + 1])
-        keep = end - start >= min_bytes
+        ink = np.concatenate([np.zeros(1, np.int64), np.cumsum(~hashing.SPACE[body])])
+        keep = (end - start >= min_bytes) & (ink[end] > ink[start])
         self.start, self.end, self.row = start[keep], end[keep], row[keep]
         self.number = following[keep] - np.searchsorted(breaks, offsets[self.row])
         self.sums = hashing.prefix_sums(body)
@@ -333,7 +334,7 @@ def near_lines(pairs: DataFrame, docs: DataFrame, min_bytes: int, words: bool) -
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint")
 
 
-def removed_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32, words: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, min_bytes: int = 1, edit_bytes: int = 32, words: bool = False) -> DataFrame:
     """doc_id, lines: the 0-based numbers of the lines to remove, for the documents that have any."""
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).where("doc_id is not null")
     buckets = linking.bucket_count(linking.text_bytes(picked))
@@ -342,14 +343,14 @@ def removed_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32, wo
     traits = made.where("blob is null").select("id", *COUNTS, *(WORD_COUNTS if words else ()))
     blobs = made.where("blob is not null").select("bucket", "blob")
     postings = cut(linking.by_bucket(blobs, buckets, live, 2, ["key", "id"]))
-    labels = linking.components(linking.resolve(postings, lambda pairs: near_lines(pairs, picked, min_bytes, words), traits, lambda x, y: close_counts(x, y, words)))
+    labels = linking.components(linking.resolve(postings, lambda pairs: near_lines(pairs, picked, max(min_bytes, edit_bytes), words), traits, lambda x, y: close_counts(x, y, words)))
     classed = lines.join(labels, "id", "left").select("doc_id", "line", F.coalesce("label", "id").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = classed.join(first, "class").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     return cut(gone.groupBy("doc_id").agg(F.collect_list("line").alias("lines")))
 
 
-def dedup_lines(docs: DataFrame, min_bytes: int = 24, edit_bytes: int = 32, words: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_bytes: int = 1, edit_bytes: int = 32, words: bool = False) -> DataFrame:
     """The rows with repeated lines cut from their text, plus n_lines (before) and n_removed."""
     gone = removed_lines(docs, min_bytes, edit_bytes, words)
     docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
