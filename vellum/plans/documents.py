@@ -146,25 +146,25 @@ NEW_DATED = f"SELECT * FROM ({_renumbered(DATED, '[pos, parenthetical, mention,
 
 @query(f"SELECT doc_id, pos, CAST(mention AS BIGINT) AS mention, CAST(item AS BIGINT) AS item, CAST(number AS BIGINT) AS number, CAST(k AS BIGINT) AS k FROM ({NUMERIC_K}) z")
 def cite_match_numeric(spark, sf_dir):
-    b, r = derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), labelled_refs(spark, sf_dir).where("doc_id % 2 = 0")
+    b, r = derived.blocks(spark, sf_dir), labelled_refs(spark, sf_dir)
     return citations.match_numbers(citations.bracket_mentions(b), r).select("doc_id", "pos", "mention", "item", "number", "k")
 
 
 @query(f"SELECT doc_id, pos, parenthetical, CAST(mention AS BIGINT) AS mention, CAST(item AS BIGINT) AS item, CAST(k AS BIGINT) AS k FROM ({DATED}) z")
 def cite_match_author_year(spark, sf_dir):
-    b, r = derived.blocks(spark, sf_dir).where("doc_id % 2 = 1"), refs_of(spark, sf_dir)
+    b, r = derived.blocks(spark, sf_dir), refs_of(spark, sf_dir)
     return citations.match_author_years(citations.author_year_items(b), r).select("doc_id", "pos", "parenthetical", "mention", "item", "k")
 
 
 @query(f"SELECT doc_id, k, new_num, cited FROM ({NEW_NUMERIC}) z")
 def cite_renumber(spark, sf_dir):
     """Flagship: labels read from raw references, bracketed citations found and matched, references renumbered by first citation."""
-    return citations.numeric_order(derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), labelled_refs(spark, sf_dir).where("doc_id % 2 = 0"))
+    return citations.numeric_order(derived.blocks(spark, sf_dir), labelled_refs(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, k, new_num, cited FROM ({NEW_DATED}) z")
 def cite_renumber_author_year(spark, sf_dir):
-    return citations.author_year_order(derived.blocks(spark, sf_dir).where("doc_id % 2 = 1"), refs_of(spark, sf_dir).where("doc_id % 2 = 1"))
+    return citations.author_year_order(derived.blocks(spark, sf_dir), refs_of(spark, sf_dir))
 
 
 def _compressed(found: str, keys: str) -> str:
@@ -182,7 +182,7 @@ _LEAD = "regexp_replace(b.text, '( \\[[0-9, –]+\\]| and \\[[0-9]+\\])+\\.$', '
 SELECT b.doc_id, b.pos, CASE WHEN b.ln % 4 = 3 THEN b.text WHEN b.ln % 4 = 1 THEN {_LEAD} || ' [' || x.numbers || '] and [' || y.numbers || '].' ELSE {_LEAD} || ' [' || x.numbers || '].' END AS text
 FROM b LEFT JOIN n x ON x.doc_id = b.doc_id AND x.pos = b.pos AND x.mention = 0 LEFT JOIN n y ON y.doc_id = b.doc_id AND y.pos = b.pos AND y.mention = 1""")
 def cite_convert(spark, sf_dir):
-    b, r = derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), refs_of(spark, sf_dir).where("doc_id % 2 = 0").withColumn("etal", F.lit(False))
+    b, r = derived.blocks(spark, sf_dir), refs_of(spark, sf_dir).withColumn("etal", F.lit(False))
     out = citations.convert_numeric(b, r, citations.numeric_order(b, r))
     return out.join(b.where("role = 'para'").select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
 
@@ -194,7 +194,7 @@ _AY = f"family1 || CASE WHEN na > 2 THEN ' et al.' WHEN na = 2 THEN ' and ' || f
 SELECT b.doc_id, b.pos, CASE WHEN b.ln % 4 = 3 THEN b.text WHEN b.ln % 4 = 1 THEN {_LEAD} || ' ' || x.t || ' and ' || y.t || '.' ELSE {_LEAD} || ' ' || x.t || '.' END AS text
 FROM b LEFT JOIN t x ON x.doc_id = b.doc_id AND x.pos = b.pos AND x.mention = 0 LEFT JOIN t y ON y.doc_id = b.doc_id AND y.pos = b.pos AND y.mention = 1""")
 def cite_convert_to_author_year(spark, sf_dir):
-    b, r = derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), refs_of(spark, sf_dir).where("doc_id % 2 = 0").withColumn("etal", F.lit(False))
+    b, r = derived.blocks(spark, sf_dir), refs_of(spark, sf_dir).withColumn("etal", F.lit(False))
     out = citations.convert_numeric(b, r, citations.numeric_order(b, r), target="author-year")
     return out.join(b.where("role = 'para'").select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
 
@@ -206,8 +206,8 @@ _DM = _compressed(f"SELECT m.doc_id, m.pos, m.mention, w.new_num AS n FROM ({DAT
 SELECT b.doc_id, b.pos, CASE b.ln % 4 WHEN 3 THEN b.text WHEN 1 THEN regexp_replace(b.text, ' \\([^()]*\\) disagreed \\([^()]*\\)\\.$', ' [' || x.numbers || '] disagreed [' || y.numbers || '].') ELSE regexp_replace(b.text, '\\([^()]*\\)\\.$', '[' || x.numbers || '].') END AS text
 FROM b LEFT JOIN n x ON x.doc_id = b.doc_id AND x.pos = b.pos AND x.mention = 0 LEFT JOIN n y ON y.doc_id = b.doc_id AND y.pos = b.pos AND y.mention = 1""")
 def cite_convert_to_numeric(spark, sf_dir):
-    b = derived.blocks(spark, sf_dir).where("doc_id % 2 = 1")
-    out = citations.convert_author_year(b, refs_of(spark, sf_dir).where("doc_id % 2 = 1"))
+    b = derived.blocks(spark, sf_dir)
+    out = citations.convert_author_year(b, refs_of(spark, sf_dir))
     return out.join(b.where("role = 'para'").select("doc_id", "pos"), ["doc_id", "pos"], "left_semi")
 
 
@@ -219,7 +219,7 @@ def citation_mode(spark, sf_dir):
 
 @query(f"SELECT r.doc_id, r.k FROM {REFS} r ANTI JOIN ({NUMERIC_K}) m ON m.doc_id = r.doc_id AND m.k = r.k WHERE r.doc_id % 2 = 0")
 def uncited_refs(spark, sf_dir):
-    b, r = derived.blocks(spark, sf_dir).where("doc_id % 2 = 0"), refs_of(spark, sf_dir).where("doc_id % 2 = 0")
+    b, r = derived.blocks(spark, sf_dir), refs_of(spark, sf_dir)
     return citations.uncited(r, citations.match_numbers(citations.bracket_mentions(b), r))
 
 
