@@ -37,3 +37,12 @@ def test_documents_of_the_other_style(spark, sf_dir, name):
     else:
         b = derived.blocks(spark, sf_dir).where(f"role = 'para' AND doc_id % 2 <> {int(name in DATED)}")
         assert sorted((r["doc_id"], r["pos"], r["text"]) for r in rest) == sorted(tuple(r) for r in b.select("doc_id", "pos", "text").collect())
+
+
+def test_roles_without_a_reference_heading(spark, sf_dir):
+    """The automaton of the original enters its reference state by a heading or a style only, so such entries are paragraphs."""
+    got, want, rest = halves(spark, sf_dir, "role_classify", lambda d: d % 7 != 0)
+    assert got == want and rest
+    b = derived.blocks(spark, sf_dir).where("doc_id % 7 = 0 AND role NOT IN ('figure', 'table')")
+    true = b.select("doc_id", "pos", F.when(F.col("role") == "reference", "para").otherwise(F.col("role")).alias("role"))
+    assert sorted((r["doc_id"], r["pos"], r["role"]) for r in rest) == sorted(tuple(r) for r in true.collect())

@@ -143,7 +143,7 @@ def algo_blocks(spark, sf_dir):
 
 @query(f"""SELECT doc_id, pos, role FROM {BLOCKS} b WHERE doc_id % 7 <> 0 AND role NOT IN ('figure', 'table')""")
 def role_classify(spark, sf_dir):
-    b = derived.blocks(spark, sf_dir).where("doc_id % 7 <> 0 AND role NOT IN ('figure', 'table')")
+    b = derived.blocks(spark, sf_dir).where("role NOT IN ('figure', 'table')")
     p = b.select("doc_id", "pos", "text", F.lit("").alias("style"), F.when(F.col("role") == "title", 16.0).otherwise(11.0).alias("size"), F.col("role").isin("title", "heading").alias("bold"), F.lit(False).alias("is_list"))
     return cl.classify(p).select("doc_id", "pos", "role")
 
