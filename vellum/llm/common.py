@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -10,15 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of a batch that goes to a Python worker, at most: long texts add up.
-BATCH_ROWS = 2_000
+#: Rows and bytes of a batch that goes to or comes from a Python worker, at most: long texts add up.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+    "spark.sql.execution.arrow.maxBytesPerOutputBatch": 4 << 20,
+}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps what a Python worker holds at once small, for the rest of the session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bounds what a Python worker holds at once. Plans are lazy, so the setting stays for the rest of the session; one
+    that is smaller already is left alone. It changes no result."""
+    for key, most in BATCH.items():
+        now = int(re.sub(r"[^-\d]", "", spark.conf.get(key)))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +38,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
     if not sc.getCheckpointDir():
@@ -46,6 +53,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have yet, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame, key: str, id_col: str = "doc_id") -> tuple[DataFrame, bool]:
+    """docs with a bigint column `key` that names each row, and whether that is the id itself. It is where no id is null or
+    repeated; else the rows are numbered and written once, so that each row keeps its number."""
+    ids = docs.select(F.col(id_col).cast("bigint").alias("i"))
+    odd = ids.groupBy("i").agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").limit(1).count()
+    if not odd:
+        return docs.withColumn(key, F.col(id_col).cast("bigint")), True
+    return cut(docs.withColumn(key, F.monotonically_increasing_id())), False
+
+
 def text_column(name: str = "text"):
     """Null text counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import cut
+from vellum.llm.common import cut, fresh
 
-BLOOM_BITS = 1 << 24
+#: Bits of a filter: 16 an id, within these bounds (128 KB and 8 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -75,42 +76,72 @@ def blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
 
-def by_bucket(blobs: DataFrame, buckets: int, work: Callable[[list[np.ndarray]], list[np.ndarray]], n_in: int, out: list[str]) -> DataFrame:
-    """work on all rows of each bucket; its output columns become bigint rows. Buckets are bounded by their number, which
-    follows the input, and each is dealt by hash."""
+def by_bucket(blobs: DataFrame, buckets: int, work: Callable[[Iterator[list[np.ndarray]]], Iterator[list[np.ndarray]]], n_in: int, out: list[str], at_once: int = 1_500_000) -> DataFrame:
+    """work on each task's rows, dealt by bucket, in portions of about at_once rows; its output columns become bigint rows.
+    Buckets are dealt by hash and their number follows the input; what work keeps between portions is its own affair."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        size = 0
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(blob)
-        while held:
-            _, blobs_of = held.popitem()
-            parts = [unpack(x, n_in) for x in blobs_of]
-            made = work([np.concatenate([p[i] for p in parts]) for i in range(n_in)])
-            for at in range(0, len(made[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000].view(np.int64)) for c in made], names=out)
+            for blob in b.column(1).to_pylist():
+                held.append(unpack(blob, n_in))
+                size += len(held[-1][0])
+                if size >= at_once:
+                    yield [np.concatenate([p[i] for p in held]) for i in range(n_in)]
+                    held, size = [], 0
+        if held:
+            yield [np.concatenate([p[i] for p in held]) for i in range(n_in)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in work(portions(batches)):
+            for at in range(0, len(made[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000].view(np.int64)) for c in made], names=out)
 
     dealt = blobs.repartition(buckets, "bucket")
     return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in out))
 
 
-def live_postings(columns: list[np.ndarray], need: int = 0) -> list[np.ndarray]:
-    """Of (key, id) or (key, id, kind) columns: the distinct (key, id) whose key has two ids or more; with need, also one
-    row of that kind at least."""
-    key, ident = columns[0], columns[1]
-    order = np.lexsort((ident, key))
-    key, ident = key[order], ident[order]
-    new_key = np.ones(len(key), bool)
-    new_key[1:] = key[1:] != key[:-1]
-    group = np.cumsum(new_key) - 1
-    keep = new_key.copy()
-    keep[1:] |= ident[1:] != ident[:-1]
-    good = np.bincount(group[keep], minlength=group[-1] + 1 if len(group) else 0) > 1
-    if len(columns) > 2:
-        good &= np.bincount(group, (columns[2][order] == need).astype(float), len(good)) > 0
-    keep &= good[group] if len(group) else keep
-    return [key[keep], ident[keep]]
+def whole(work: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Callable[[Iterator[list[np.ndarray]]], Iterator[list[np.ndarray]]]:
+    """For by_bucket: work on all rows of a task at once."""
+
+    def run(portions: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        parts = list(portions)
+        if parts:
+            yield work([np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))])
+
+    return run
+
+
+def live_postings(portions: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """For by_bucket: of (key, id) or (key, id, kind) rows, the (key, id) whose key has two ids or more; with kinds, also a
+    row of kind 0. Some may come twice. A key that qualified once is only remembered by itself, so a key of any number of
+    rows takes no more room than another; rows of keys that don't qualify yet wait."""
+    alive = np.zeros(0, np.uint64)
+    wait: list[np.ndarray] | None = None
+    for new in portions:
+        rows = new if wait is None else [np.concatenate([w, n]) for w, n in zip(wait, new)]
+        order = np.lexsort(rows[::-1])
+        rows = [r[order] for r in rows]
+        keep = np.ones(len(order), bool)
+        keep[1:] = np.logical_or.reduce([r[1:] != r[:-1] for r in rows])
+        rows = [r[keep] for r in rows]
+        key, ident = rows[0], rows[1]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        group = np.cumsum(first) - 1
+        other = first.copy()
+        other[1:] |= ident[1:] != ident[:-1]
+        good = np.bincount(group[other], minlength=group[-1] + 1) > 1
+        if len(rows) > 2:
+            good &= np.bincount(group, rows[2] == 0, len(good)) > 0
+        known = key[first]
+        if len(alive):
+            good |= alive[np.minimum(np.searchsorted(alive, known), len(alive) - 1)] == known
+        out = good[group] & other
+        yield [key[out], ident[out]]
+        alive = np.union1d(alive, known[good])
+        wait = [r[~good[group]] for r in rows]
 
 
 def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
@@ -132,9 +163,14 @@ def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], trait
     return links.unionByName(cut(verify(pairs)))
 
 
-def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of fixed size over a bigint column, made by OR over words on the executors. What it lets through by
-    chance a later join removes, so it only saves shuffling, at any size of the data."""
+def bloom_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+
+
+def bloom(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter over a bigint column, made by OR over words on the executors; its size follows the number of ids up
+    to a bound. What it lets through by chance a later join removes, so it only saves shuffling, at any size of the data."""
+    bits = bloom_bits(ids.count())
     spots = F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in range(3)]))
     words = ids.select(spots.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
     got = words.toArrow()
@@ -144,8 +180,9 @@ def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
-def spots(column: str, bits: int = BLOOM_BITS) -> list[Column]:
+def spots(column: str, table: np.ndarray) -> list[Column]:
     """The three places of a bigint column in a filter, as columns for a function that takes Arrow batches anyway."""
+    bits = len(table) * 64
     return [F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)).alias(f"_spot{i}") for i in range(3)]
 
 
@@ -158,7 +195,7 @@ def hits(table: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
     return ok
 
 
-def passes(spark_filter: np.ndarray, column: str) -> Column:
+def passes(spark_filter: np.ndarray, column: str | Column) -> Column:
     """Whether the filter lets a bigint column through."""
     bits = len(spark_filter) * 64
     packed = spark_filter.tobytes()
@@ -175,7 +212,7 @@ def passes(spark_filter: np.ndarray, column: str) -> Column:
     return hit(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in range(3)])
 
 
-def bucket_count(total_bytes: int, bytes_each: int = 16 << 20, least: int = 12) -> int:
+def bucket_count(total_bytes: int, bytes_each: int = 8 << 20, least: int = 12) -> int:
     return max(least, -(-int(total_bytes or 0) // bytes_each))
 
 
@@ -183,8 +220,9 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def bloom_of_hashes(ids: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
+def bloom_of_hashes(ids: DataFrame, column: str) -> np.ndarray:
     """As bloom(), over a column that holds hashes already: their own bits are the places."""
+    bits = bloom_bits(ids.count())
     spots = F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1).cast("bigint")) for s in (8, 33)]))
     words = ids.select(spots.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits"))
     got = words.toArrow()
@@ -202,11 +240,11 @@ def in_bloom_of_hashes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ok
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't among ids (doc_id); rows with a null id stay. Only rows that the filter lets through are shuffled."""
-    ids = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))
-    maybe = passes(bloom(ids, "_gone"), "_key") & F.col("doc_id").isNotNull()
-    marked = docs.withColumn("_key", key).withColumn("_maybe", maybe)
-    kept = marked.where("_maybe").join(ids, F.col("_key") == F.col("_gone"), "left_anti")
-    return marked.where("not _maybe").unionByName(kept).select(*docs.columns)
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose `key` (a bigint, never null) isn't in the column of that name of `gone`. Only rows that the filter
+    lets through are shuffled."""
+    gone = cut(gone.select(key).distinct())
+    maybe = fresh(docs, "maybe")
+    marked = docs.withColumn(maybe, passes(bloom(gone, key), key))
+    kept = marked.where(F.col(maybe)).join(gone, key, "left_anti")
+    return marked.where(~F.col(maybe)).unionByName(kept).drop(maybe)

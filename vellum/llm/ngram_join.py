@@ -10,9 +10,10 @@
    (see linking.resolve: the smallest group of a shingle first, then only pairs across components), expanded to
    members of sizes and shapes within the threshold, and verified on the whole sets.
 
-Nulls: a null or empty text, or one of white space only, has an empty set and is linked with nothing. Ids must be
-unique; rows with a null id are left out. Ties and repeated texts share a set. Empty tables give no rows. Only the id
-and text are read.
+Nulls: a null or empty text, or one of white space only, has an empty set and is linked with nothing. Rows of equal or
+null id are documents of their own, each with its own row in the result. Ties and repeated texts share a set. Long texts
+are taken whole, a slice of rows at a time; the set of one document, 8 bytes a word, must fit in a worker. Empty tables
+give no rows. Only the id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import hashing, linking
-from vellum.llm.common import cut, flat_bytes, row_slices, text_column
+from vellum.llm.common import cut, flat_bytes, fresh, row_slices, text_column, with_row_key
 
 NUM, DEN = 75, 100
 #: Cells of a set's shape: how many of its shingles fall into each, which bounds the overlap of two sets from above.
@@ -44,8 +45,8 @@ def sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, demoted: int = 500_000) -> tuple[int, np.ndarray]:
     """(bits, fingerprints ascending) of the most frequent shingles of the whole corpus: those in `least` or more documents, at
-    most `demoted`. A fingerprint is a shingle's upper bits, enough that few collide. What is shuffled are sorted
-    fingerprints as differences, two bytes each as a rule."""
+    most `demoted`. A fingerprint is a shingle's upper bits, enough that few collide. Each task counts a million at a time
+    before it sends them: sorted fingerprints as differences, two bytes each as a rule, and the counts over 1."""
     bits = min(60, max(32, int(np.log2(max(total_bytes, 2))) + 4))
     down = np.uint64(64 - bits)
 
@@ -54,20 +55,10 @@ def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, de
         size = 0
 
         def flush():
-            nonlocal size
-            v = np.sort(np.concatenate(held))
-            held.clear()
-            size = 0
+            v, n = np.unique(np.concatenate(held), return_counts=True)
             bucket = fingerprint_bucket(v, bits, buckets)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = []
-            for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                if y > x:
-                    part = v[x:y]
-                    steps = np.diff(part)
-                    kind = np.uint16 if not len(steps) or steps.max() < 1 << 16 else np.uint64
-                    rows.append((i, part[:1].tobytes() + (b"2" if kind is np.uint16 else b"8") + steps.astype(kind).tobytes()))
-            return linking.blob_batch(rows)
+            return linking.blob_batch([(i, squeeze(v[x:y], n[x:y])) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x])
 
         for b in batches:
             for _, v, _ in sets(b.column(0)):
@@ -75,22 +66,27 @@ def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, de
                 size += len(v)
                 if size > 1_000_000:
                     yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged():
+            v, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return v, np.bincount(at, np.concatenate([h[1] for h in held]), len(v)).astype(np.int64)
+
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(blob)
-        while held:
-            _, blobs = held.popitem()
-            parts = []
-            for x in blobs:
-                first = np.frombuffer(x[:8], np.uint64)
-                steps = np.frombuffer(x[9:], np.uint16 if x[8:9] == b"2" else np.uint64).astype(np.uint64)
-                parts.append(np.concatenate([first, first + np.cumsum(steps)]))
-            v, n = np.unique(np.concatenate(parts), return_counts=True)
+            for blob in b.column(1).to_pylist():
+                held.append(unsqueeze(blob))
+                size += len(held[-1][0])
+                if size > 2_000_000:
+                    held = [merged()]
+                    size = len(held[0][0]) // 2  # so that merging stays in proportion
+        if held:
+            v, n = merged()
             keep = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(v[keep].astype(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
 
@@ -101,6 +97,26 @@ def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, de
     return bits, np.stack([top.column("shingle").to_numpy()[order].astype(np.uint64), top.column("n").to_numpy()[order].astype(np.uint64)])
 
 
+def squeeze(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending distinct values with their counts: how many, the first, steps, then places and counts of those over 1."""
+    steps = np.diff(values)
+    small = not len(steps) or steps.max() < 1 << 16
+    many = np.flatnonzero(counts > 1)
+    head = np.array([len(values), small, values[0]], np.uint64).tobytes()
+    return head + steps.astype(np.uint16 if small else np.uint64).tobytes() + np.concatenate([many, counts[many]]).astype(np.uint32).tobytes()
+
+
+def unsqueeze(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, small, first = (int(x) for x in np.frombuffer(blob[:24], np.uint64))
+    end = 24 + (n - 1) * (2 if small else 8)
+    steps = np.frombuffer(blob[24:end], np.uint16 if small else np.uint64)
+    values = np.uint64(first) + np.concatenate([np.zeros(1, np.uint64), np.cumsum(steps, dtype=np.uint64)])
+    places, counts = np.frombuffer(blob[end:], np.uint32).reshape(2, -1)
+    out = np.ones(n, np.int64)
+    out[places] = counts
+    return values, out
+
+
 def fingerprint_bucket(v: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Ranges of equal width, so that sorted fingerprints fall into buckets in order."""
     width = np.uint64(-(-(1 << bits) // buckets))
@@ -108,8 +124,8 @@ def fingerprint_bucket(v: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, per_task_memory: int = 1 << 20) -> DataFrame:
-    """Two kinds of rows: documents (doc_id, n, set_a, set_b, grp) with a null blob, and postings (bucket, blob of (shingle, grp))."""
-    schema = "doc_id bigint, n bigint, set_a bigint, set_b bigint, grp bigint, shape binary, bucket int, blob binary"
+    """Two kinds of rows: documents (row, n, set_a, set_b, grp) with a null blob, and postings (bucket, blob of (shingle, grp))."""
+    schema = "row bigint, n bigint, set_a bigint, set_b bigint, grp bigint, shape binary, bucket int, blob binary"
     down, (last, seen_in) = np.uint64(64 - common[0]), common[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,18 +190,17 @@ def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, p
 
 
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of document ids whose sets reach the threshold. Only the texts of documents in the pairs are shuffled."""
+    """Pairs (a, b) of row keys whose sets reach the threshold. Only the texts of documents in the pairs are shuffled."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     needed = linking.bloom(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(linking.hits(needed, b)))
-            blobs: list[bytes] = []
-            for _, values, begin in sets(b.column(1)):
-                blobs += [values[i:j].tobytes() for i, j in zip(begin, begin[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["id", "shingles"])
+            for first, values, begin in sets(b.column(1)):
+                blobs = [values[i:j].tobytes() for i, j in zip(begin, begin[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(blobs)), pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +216,7 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(ok)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = docs.select("doc_id", "text", *linking.spots("doc_id")).mapInArrow(run, "id bigint, shingles binary")
+    wanted = docs.select("row", "text", *linking.spots("row", needed)).mapInArrow(run, "id bigint, shingles binary")
     left = wanted.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = wanted.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     full = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
@@ -224,25 +239,22 @@ def may_overlap(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable over links."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).where("doc_id is not null")
+def rows_with_components(docs: DataFrame) -> DataFrame:
+    """row, n, label (the smallest row key of the component) of rows (row, text), whose keys are unique and not null."""
     total = linking.text_bytes(docs)
     buckets = linking.bucket_count(total)
     made = cut(prefix_rows(docs, frequent(docs, buckets, total), buckets))
-    described = made.where("blob is null").select("doc_id", "n", "set_a", "set_b", "grp", "shape")
+    described = made.where("blob is null").select("row", "n", "set_a", "set_b", "grp", "shape")
     blobs = made.where("blob is not null").select("bucket", "blob")
     posted = linking.by_bucket(blobs, buckets, linking.live_postings, 2, ["key", "grp"])
-    by_set = described.where("n > 0").groupBy("set_a", "set_b", "n", "grp").agg(F.min("doc_id").alias("rep"))
-    reps = cut(by_set)
-    described_reps = described.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "shape")
+    reps = cut(described.where("n > 0").groupBy("set_a", "set_b", "n", "grp").agg(F.min("row").alias("rep")))
+    sizes = cut(described.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "shape"))
     # a group's members are candidates of each other, and of the members of every group that shares a prefix shingle
     first = reps.groupBy("grp").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
     heads = posted.join(first, "grp").select("key", F.col("first").alias("id"))
     inside = reps.join(first.where("members > 1"), "grp").select(F.col("grp").alias("key"), F.col("rep").alias("id"))
     others = posted.join(reps.join(first.where("members > 1"), "grp").where("rep != first").select("grp", "rep"), "grp").select("key", F.col("rep").alias("id"))
     postings = cut(heads.unionByName(inside).unionByName(others).distinct())
-    sizes = cut(described_reps)
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = sizes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shape").alias("xa"))
@@ -256,5 +268,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     labels = linking.components(linking.resolve(postings, verify, sizes.select(F.col("rep").alias("id"), "n"), similar_size))
     of_set = reps.join(labels, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n", F.coalesce("label", "rep").alias("label"))
-    out = described.drop("shape").join(of_set, ["set_a", "set_b", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    return described.drop("shape").join(of_set, ["set_a", "set_b", "n"], "left").select("row", "n", F.coalesce("label", "row").alias("label"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable over links (null if no row there has an id)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text"))
+    docs, unique = with_row_key(docs, "row")
+    found = rows_with_components(docs.select("row", "text"))
+    if unique:
+        return found.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+    named = found.join(docs.select("row", "doc_id"), "row")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the one with the smallest id stays (of rows with one id or
+    none, any one)."""
+    key = fresh(docs, "row")
+    keyed, unique = with_row_key(docs, key)
+    found = rows_with_components(keyed.select(F.col(key).alias("row"), text_column().alias("text")))
+    if unique:
+        gone = found.where("row <> label")
+    else:
+        named = found.join(keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id")), "row")
+        kept = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("stays"))
+        gone = named.join(kept, "label").where("row <> stays.row")
+    return linking.without(keyed, key, gone.select(F.col("row").alias(key))).drop(key)
