@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows and bytes of a batch that goes to or comes from a Python worker, at most: long texts add up.
+#: Rows and bytes of a batch that goes to a Python worker, at most: long texts add up.
 BATCH = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000,
     "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
-    "spark.sql.execution.arrow.maxBytesPerOutputBatch": 4 << 20,
 }
 
 
