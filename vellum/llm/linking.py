@@ -114,8 +114,8 @@ def whole(work: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Callable[[Ite
 
 
 def live_postings(portions: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-    """For by_bucket: of (key, id) or (key, id, kind) rows, the (key, id) whose key has two ids or more; with kinds, also a
-    row of kind 0. Some may come twice. A key that qualified once is only remembered by itself, so a key of any number of
+    """For by_bucket: of (key, id) or (key, id, kind) rows, those whose key has two ids or more; with kinds, also a row of
+    kind 0. Some may come twice. A key that qualified once is only remembered by itself, so a key of any number of
     rows takes no more room than another; rows of keys that don't qualify yet wait."""
     alive = np.zeros(0, np.uint64)
     wait: list[np.ndarray] | None = None
@@ -138,31 +138,54 @@ def live_postings(portions: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndar
         known = key[first]
         if len(alive):
             good |= alive[np.minimum(np.searchsorted(alive, known), len(alive) - 1)] == known
-        out = good[group] & other
-        yield [key[out], ident[out]]
+        yield [r[good[group]] for r in rows]
         alive = np.union1d(alive, known[good])
         wait = [r[~good[group]] for r in rows]
 
 
-def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) that connect what the postings (key, id) and the verification of pairs (a < b) allow: every component of
-    the full link graph is connected by them. The postings are read several times; pass written ones. traits: columns
-    beside id; near("x", "y"), over them as x.* and y.*, must hold for every link and spares pairs that can't be one."""
+    the full link graph is connected by them. The postings are read several times; pass written ones, which may have a
+    column `kind` beside. traits: columns beside id; candidates: from written rows (key, id, label, kind, traits) to the
+    pairs (a, b) of one key and two labels that can be links."""
     pivot = postings.groupBy("key").agg(F.min("id").alias("a"))
     star = cut(postings.join(pivot, "key").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct())
     links = cut(verify(star))
     labels = components(links)
-    named = postings.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    named = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("key")
     rest = cut(named.join(open_keys, "key"))
     own = traits.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     rest = cut(rest.join(own, "id"))
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near("x", "y"))
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    pairs = pairs.join(star.withColumn("seen", F.lit(True)), ["a", "b"], "left_anti")
+    pairs = candidates(rest).join(star, ["a", "b"], "left_anti")
     return links.unionByName(cut(verify(pairs)))
 
 
+def joined(rest: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Candidates by a join: the pairs of a key and two labels for which near("x", "y"), over the rows as x.* and y.*, holds."""
+    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near("x", "y"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def in_blocks(rest: DataFrame, traits: DataFrame, near: Callable[[pa.Table, pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]], rows: int = 512) -> DataFrame:
+    """Candidates of keys that hold many ids, without a row for each pair: a key's rows are dealt into blocks, two blocks meet
+    in one group of up to 2 * rows rows (with the traits of their ids), and only what near(left, right) finds there (places
+    in both) comes out. So a key of n ids sends n * n / rows rows, not n * n."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(traits, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+    def run(group: pa.Table) -> pa.Table:
+        low, own = group.column("low")[0].as_py(), group.column("own").to_numpy()
+        left = group.filter(pa.array(own == low))
+        right = left if low == group.column("high")[0].as_py() else group.filter(pa.array(own != low))
+        found = [pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}) for i, j in near(left, right) for x, y in [(left.column("id").to_numpy()[i], right.column("id").to_numpy()[j])] if len(x)]
+        return pa.concat_tables(found) if found else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def bloom_bits(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
 

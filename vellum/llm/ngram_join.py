@@ -4,7 +4,8 @@
    64-bit hashes), the whole sequence if it is shorter. Documents with equal sets collapse to one representative.
 2. All shingles have one order: those of many documents last, the most frequent at the end, counted over the
    whole corpus (a bounded list, and it only orders, so nothing depends on it but speed), else by hash. Two sets that reach the
-   threshold share a shingle among the first n - ceil(t * n) + 1 of each.
+   threshold share a shingle among the first m - ceil(2t / (1 + t) * m) + 1 of the smaller one, which are indexed, and
+   the first n - ceil(t * n) + 1 of the other, which probe. A shingle that only probes brings no pair.
 3. Representatives with the same prefix and size form a group; a group is posted once under each prefix shingle.
 4. Groups that share a shingle are candidates. Group pairs are filtered to those that can still connect something
    (see linking.resolve: the smallest group of a shingle first, then only pairs across components), expanded to
@@ -31,6 +32,8 @@ from vellum.llm.common import cut, flat_bytes, fresh, row_slices, text_column, w
 NUM, DEN = 75, 100
 #: Cells of a set's shape: how many of its shingles fall into each, which bounds the overlap of two sets from above.
 SHAPE = 256
+#: Ids of a key that are paired by a join; more are paired in blocks.
+FEW = 64
 
 
 def sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -124,20 +127,20 @@ def fingerprint_bucket(v: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, per_task_memory: int = 1 << 20) -> DataFrame:
-    """Two kinds of rows: documents (row, n, set_a, set_b, grp) with a null blob, and postings (bucket, blob of (shingle, grp))."""
+    """Two kinds of rows: documents (row, n, set_a, set_b, grp) with a null blob, and postings (bucket, blob of (shingle, grp, kind))."""
     schema = "row bigint, n bigint, set_a bigint, set_b bigint, grp bigint, shape binary, bucket int, blob binary"
     down, (last, seen_in) = np.uint64(64 - common[0]), common[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def postings():
             nonlocal size
-            key, grp = (np.concatenate([h[i] for h in held]) for i in range(2))
+            columns = [np.concatenate([h[i] for h in held]) for i in range(3)]
             held.clear()
             size = 0
-            rows = list(linking.deal([key, grp], buckets, key))
+            rows = list(linking.deal(columns, buckets, columns[0]))
             none = pa.nulls(len(rows), pa.int64())
             return pa.RecordBatch.from_arrays([none] * 5 + [pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
@@ -157,7 +160,9 @@ def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, p
                 values = values[order]
                 place = np.arange(len(values)) - np.repeat(begin[:-1], count)
                 prefix = count - (count * NUM + DEN - 1) // DEN + 1
+                indexed = count - (2 * count * NUM + DEN + NUM - 1) // (DEN + NUM) + 1
                 inside = place < np.repeat(prefix, count)
+                kind = (place >= np.repeat(indexed, count)).astype(np.uint64)
                 some = count > 0
                 at = begin[:-1][some]
                 own = slice(first, first + len(count))
@@ -175,7 +180,7 @@ def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, p
                 if len(seen) > 500_000:
                     seen.clear()
                 take = inside & fresh[rows]
-                held.append((values[take], g[rows[take]]))
+                held.append((values[take], g[rows[take]], kind[take]))
                 size += int(take.sum())
                 if size > per_task_memory:
                     yield postings()
@@ -239,6 +244,23 @@ def may_overlap(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
+def similar_shapes(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For linking.in_blocks: pairs whose labels differ, whose prefixes meet as they must, and whose sizes and shapes allow the
+    threshold."""
+    x, y = (flat_bytes(t.column("shape"))[0].reshape(-1, SHAPE) for t in (left, right))
+    m, n = (t.column("n").to_numpy() for t in (left, right))
+    (label, kind), (labels, kinds) = ([t.column(c).to_numpy() for c in ("label", "kind")] for t in (left, right))
+    for i in range(len(x)):
+        sized = (np.minimum(m[i], n) * DEN >= np.maximum(m[i], n) * NUM) & (label[i] != labels)
+        sized &= ((kind[i] == 0) & (m[i] <= n)) | ((kinds == 0) & (n <= m[i]))
+        j = np.flatnonzero(sized)
+        if len(j):
+            both = np.minimum(x[i], y[j])
+            most = both.sum(1, dtype=np.int64) + (both == 255).any(1) * (1 << 30)
+            j = j[(DEN + NUM) * most >= NUM * (m[i] + n[j])]
+            yield np.full(len(j), i), j
+
+
 def rows_with_components(docs: DataFrame) -> DataFrame:
     """row, n, label (the smallest row key of the component) of rows (row, text), whose keys are unique and not null."""
     total = linking.text_bytes(docs)
@@ -246,14 +268,14 @@ def rows_with_components(docs: DataFrame) -> DataFrame:
     made = cut(prefix_rows(docs, frequent(docs, buckets, total), buckets))
     described = made.where("blob is null").select("row", "n", "set_a", "set_b", "grp", "shape")
     blobs = made.where("blob is not null").select("bucket", "blob")
-    posted = linking.by_bucket(blobs, buckets, linking.live_postings, 2, ["key", "grp"])
+    posted = linking.by_bucket(blobs, buckets, linking.live_postings, 3, ["key", "grp", "kind"])
     reps = cut(described.where("n > 0").groupBy("set_a", "set_b", "n", "grp").agg(F.min("row").alias("rep")))
     sizes = cut(described.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "shape"))
     # a group's members are candidates of each other, and of the members of every group that shares a prefix shingle
     first = reps.groupBy("grp").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
-    heads = posted.join(first, "grp").select("key", F.col("first").alias("id"))
-    inside = reps.join(first.where("members > 1"), "grp").select(F.col("grp").alias("key"), F.col("rep").alias("id"))
-    others = posted.join(reps.join(first.where("members > 1"), "grp").where("rep != first").select("grp", "rep"), "grp").select("key", F.col("rep").alias("id"))
+    heads = posted.join(first, "grp").select("key", F.col("first").alias("id"), "kind")
+    inside = reps.join(first.where("members > 1"), "grp").select(F.col("grp").alias("key"), F.col("rep").alias("id"), F.lit(0).cast("bigint").alias("kind"))
+    others = posted.join(reps.join(first.where("members > 1"), "grp").where("rep != first").select("grp", "rep"), "grp").select("key", F.col("rep").alias("id"), "kind")
     postings = cut(heads.unionByName(inside).unionByName(others).distinct())
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -262,11 +284,19 @@ def rows_with_components(docs: DataFrame) -> DataFrame:
         near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
         return similar(may_overlap(near), docs)
 
-    def similar_size(x: str, y: str):
-        m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return F.least(m, n) * DEN >= F.greatest(m, n) * NUM
+    def may_be_similar(x: str, y: str):
+        """By their sizes, and by the prefixes that the key stands in: an indexed one of the smaller set."""
+        m, n, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.kind"), F.col(f"{y}.kind")
+        return (F.least(m, n) * DEN >= F.greatest(m, n) * NUM) & (((i == 0) & (m <= n)) | ((j == 0) & (n <= m)))
+
+    shapes = sizes.select(F.col("rep").alias("id"), "shape")
+
+    def candidates(rest: DataFrame) -> DataFrame:
+        many = cut(rest.groupBy("key").agg(F.count("*").alias("ids")).where(F.col("ids") > FEW).select("key"))
+        few = linking.joined(rest.join(many, "key", "left_anti"), may_be_similar)
+        return few.unionByName(linking.in_blocks(rest.join(many, "key"), shapes, similar_shapes)).distinct()
 
-    labels = linking.components(linking.resolve(postings, verify, sizes.select(F.col("rep").alias("id"), "n"), similar_size))
+    labels = linking.components(linking.resolve(postings, verify, sizes.select(F.col("rep").alias("id"), "n"), candidates))
     of_set = reps.join(labels, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n", F.coalesce("label", "rep").alias("label"))
     return described.drop("shape").join(of_set, ["set_a", "set_b", "n"], "left").select("row", "n", F.coalesce("label", "row").alias("label"))
 

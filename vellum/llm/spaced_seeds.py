@@ -12,9 +12,9 @@ Words: A-Z lower-cased, split at ASCII white space. The items are taken in parts
 each part sent with the code and matched in one pass over the documents, so what is sent stays bounded however
 large the benchmark is. Within a task only hits become rows; there is no shuffle of documents.
 
-Nulls: null or empty texts and items without words hold nothing and match nothing. Repeated items are reported under
-each of their ids, repeated documents each by itself. An empty benchmark leaves every document clean. Only the id
-and text columns are read.
+Nulls: null or empty texts and items without words hold nothing and match nothing; an item without an id is reported as
+null. Repeated items are reported under each of their ids; rows of equal or null id are documents of their own. Texts of
+any length are taken whole. An empty benchmark leaves every document clean. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm import hashing
-from vellum.llm.common import flat_bytes, row_slices, text_column
+from vellum.llm import hashing, linking
+from vellum.llm.common import flat_bytes, fresh, row_slices, text_column, with_row_key
 
 WINDOW, ALLOWED = 13, 3
 #: The places of each mask.
@@ -116,12 +116,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, part_bytes: int = 8 << 20) -
     out = None
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in some.collect())
+        rows = sorted(((r["item_id"], r["text"]) for r in some.collect()), key=lambda r: (r[0] is not None, *r) if r[0] is not None else (False, 0, r[1]))
         found = picked.mapInArrow(matcher(rows), "doc_id bigint, item_id bigint, first_word bigint, end_word bigint")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item, each judged by itself."""
+    key = fresh(docs, "row")
+    keyed, _ = with_row_key(docs, key)
+    found = overlaps(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    return linking.without(keyed, key, found.select(F.col("doc_id").alias(key))).drop(key)
+
+
 def matcher(items: list[tuple[int, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(items)
@@ -142,14 +150,16 @@ def matcher(items: list[tuple[int, str]]):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_items that it holds, item_ids (ascending, joined by commas), contaminated. Documents of
-    equal id are judged together."""
-    hits = overlaps(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    joined = ids.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    """One row a document: doc_id, n_items that it holds, item_ids (ascending, joined by commas, "null" for an item without an
+    id), contaminated."""
+    docs, _ = with_row_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "row")
+    found = overlaps(docs.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    hits = found.groupBy(F.col("doc_id").alias("row")).agg(F.array_sort(F.collect_set(F.struct("item_id"))).alias("items"))
+    joined = docs.select("row", "doc_id").join(hits, "row", "left")
+    names = F.transform("items", lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null")))
     return joined.select(
         "doc_id",
         F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), F.lit("")).alias("item_ids"),
+        F.coalesce(F.array_join(names, ","), F.lit("")).alias("item_ids"),
         F.col("items").isNotNull().alias("contaminated"),
     )

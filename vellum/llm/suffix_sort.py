@@ -18,9 +18,11 @@ anchor, at the same place in all its occurrences, and about one place in sixty i
 Strings are judged on the input, never cross documents, and may overlap. Only texts of documents with shared anchors are
 shuffled (a Bloom filter of fixed size leaves the others in place).
 
-Nulls: a null text is empty: no bytes, nothing removed. Texts shorter than WINDOW have no such string. Ids must be unique;
-rows with a null id are left out. Repeated texts cover each other wholly (from WINDOW bytes on). Empty tables give
-none. Only the id and text are read.
+Nulls: a null text is empty: no bytes, nothing removed. Texts shorter than WINDOW have no such string. Rows of equal or
+null id are documents of their own, each with its own row in the result. Repeated texts cover each other wholly (from
+WINDOW bytes on). A text of any length is taken whole. Empty tables give none. Only the id and text are read, so other
+columns may have any name. That surroundings are equal is told by 128 bits: those of the anchor and of its surroundings,
+which are too short for the texts that can be built against a polynomial hash.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import hashing, linking
-from vellum.llm.common import cut, flat_bytes, row_slices, text_column
+from vellum.llm.common import cut, flat_bytes, row_slices, text_column, with_row_key
 
 WINDOW, GRAM = 200, 72
 REACH = WINDOW - GRAM
@@ -255,13 +257,13 @@ def shared(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def surroundings(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, doc_id, place, left, bytes around) of the occurrences to be sorted."""
-    asked = found.where("place >= 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "start", "end", "key")).alias("asked"))
+    """(key, row, place, left, bytes around) of the occurrences to be sorted."""
+    asked = found.where("place >= 0").groupBy("row").agg(F.collect_list(F.struct("place", "start", "end", "key")).alias("asked"))
     asked = cut(asked)
-    texts = docs.where(linking.passes(linking.bloom(asked, "doc_id"), "doc_id")).join(asked, "doc_id")
+    texts = docs.where(linking.passes(linking.bloom(asked, "row"), "row")).join(asked, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc_id", "place", "left", "around"]
+        names = ["key", "row", "place", "left", "around"]
         for b in batches:
             rows: list[tuple] = []
             for doc, text, wanted in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -271,11 +273,11 @@ def surroundings(found: DataFrame, docs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows[at : at + 20_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(columns)], names=names)
 
-    return texts.select("doc_id", "text", "asked").mapInArrow(run, "key bigint, doc_id bigint, place bigint, left bigint, around binary")
+    return texts.select("row", "text", "asked").mapInArrow(run, "key bigint, row bigint, place bigint, left bigint, around binary")
 
 
 def sorted_ranges(occurrences: DataFrame, buckets: int) -> DataFrame:
-    """Covered ranges (doc_id, start, end) by sorting the occurrences of each anchor."""
+    """Covered ranges (row, start, end) by sorting the occurrences of each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [x for x in batches if x.num_rows]
@@ -286,17 +288,17 @@ def sorted_ranges(occurrences: DataFrame, buckets: int) -> DataFrame:
         low, high = repeated_around([a[n:] for a, n in zip(around, lefts)], [a[:n][::-1] for a, n in zip(around, lefts)])
         hit = np.flatnonzero(high >= 0)
         place = t.column("place").to_numpy()[hit]
-        yield pa.RecordBatch.from_arrays([pa.array(t.column("doc_id").to_numpy()[hit]), pa.array(place - high[hit]), pa.array(place - low[hit] + WINDOW)], names=["doc_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("row").to_numpy()[hit]), pa.array(place - high[hit]), pa.array(place - low[hit] + WINDOW)], names=["row", "start", "end"])
 
-    return occurrences.repartition(buckets, "key").mapInArrow(run, "doc_id bigint, start bigint, end bigint")
+    return occurrences.repartition(buckets, "key").mapInArrow(run, "row bigint, start bigint, end bigint")
 
 
 def covered_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, ranges array<struct<start, end>> of the documents in which some string repeats; ranges may overlap."""
+    """row, ranges array<struct<start, end>> of the documents in which some string repeats; ranges may overlap."""
     buckets = linking.bucket_count(linking.text_bytes(docs))
-    found = cut(linking.by_bucket(anchor_blobs(docs, buckets), buckets, shared, 4, ["doc_id", "start", "end", "place", "key"]))
-    ranges = found.where("place < 0").select("doc_id", "start", "end").unionByName(sorted_ranges(surroundings(found, docs), buckets))
-    return cut(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
+    found = cut(linking.by_bucket(anchor_blobs(docs, buckets), buckets, linking.whole(shared), 4, ["row", "start", "end", "place", "key"]))
+    ranges = found.where("place < 0").select("row", "start", "end").unionByName(sorted_ranges(surroundings(found, docs), buckets))
+    return cut(ranges.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[list[int]]:
@@ -311,14 +313,13 @@ def merge(ranges: list[tuple[int, int]]) -> list[list[int]]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (runs removed), kept_sha256 (of the remaining bytes), kept (binary)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")).where("doc_id is not null")
-    ranges = covered_ranges(docs)
-    maybe = linking.passes(linking.bloom(ranges, "doc_id"), "doc_id")
-    docs = docs.withColumn("maybe", maybe)
+    docs, _ = with_row_key(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column().alias("text")), "row")
+    ranges = covered_ranges(docs.select("row", "text"))
+    docs = docs.withColumn("maybe", linking.passes(linking.bloom(ranges, "row"), "row"))
     zero = F.lit(0).cast("bigint")
     kept = F.encode("text", "UTF-8")
     rest = docs.where("not maybe").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), kept.alias("kept"))
-    work = docs.where("maybe").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    work = docs.where("maybe").join(ranges, "row", "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
