@@ -13,9 +13,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import line_dedup, linking, ngram_join, registry, spaced_seeds, toxicity
+from vellum.llm import line_dedup, ngram_join, registry, spaced_seeds, toxicity
 from vellum.llm.bpe_encode import encode_documents
-from vellum.llm.common import checkpoint_dir, table
+from vellum.llm.common import checkpoint_dir, fresh, table
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +26,19 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line of the corpus go; a document that lost lines and has nothing but white space left goes too."""
-    clean = line_dedup.dedup_lines(docs, words=True)
-    return clean.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
+    removed = fresh(docs, "removed")
+    clean = line_dedup.dedup_lines(docs, words=True, counts=(fresh(docs, "lines"), removed))
+    return clean.where((F.col(removed) == 0) | F.col("text").rlike(r"\S")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id stays."""
-    found = ngram_join.near_duplicates(docs).where("doc_id <> component_id")
-    return linking.without(docs, found)
+    return ngram_join.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, a few words changed or not, go."""
-    found = spaced_seeds.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return linking.without(docs, found)
+    return spaced_seeds.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
