@@ -52,9 +52,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that df doesn't have yet, in any case of its letters."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, base: str, *others: str) -> str:
+    """A column name that df doesn't have yet, in any case of its letters, nor `others`."""
+    taken = {c.lower() for c in [*df.columns, *others]}
     name = f"__{base}"
     while name.lower() in taken:
         name += "_"

@@ -394,11 +394,11 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 1, edit_bytes: int = 32, words
     """The rows with repeated lines cut from their text, plus n_lines (before) and n_removed."""
     taken = {c.lower() for c in docs.columns}
     n_lines, n_removed = (next(n for n in (c + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for c in counts)
-    key, lines, columns = fresh(docs, "row"), fresh(docs, "lines"), docs.columns
+    key, lines, columns = fresh(docs, "row", n_lines, n_removed), fresh(docs, "lines", n_lines, n_removed), docs.columns
     docs, unique = with_row_key(docs, key)
     text = docs.select(F.col(key).alias("row"), *([] if unique else [F.col("doc_id").cast("bigint").alias("id")]), text_column().alias("text"))
     gone = removed_lines(text, min_bytes, edit_bytes, words).select(F.col("row").alias(key), F.col("lines").alias(lines))
-    maybe = fresh(docs, "maybe")
+    maybe = fresh(docs, "maybe", n_lines, n_removed, lines)
     of_text = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     docs = docs.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(of_text).cast("bigint"))
     docs = docs.withColumn(maybe, linking.passes(linking.bloom(gone, key), key))
