@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,19 +118,37 @@ def roman_to_int(c: Column) -> Column:
     return F.aggregate(F.split(F.reverse(F.upper(c)), ""), start, step, lambda acc: acc["total"]).cast("bigint")
 
 
-#: Named character references that are decoded.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+#: A character reference: by number, or by one of the names that the standard library knows.
+REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,30};)"
+
+
+def unescape_html(c: Column) -> Column:
+    """Character references as characters; unknown names and numbers out of range stay. Names come from html.entities."""
+    names = F.create_map(*[F.lit(x) for name, char in html5.items() if name.endswith(";") for x in (f"&{name}", char)])
+
+    def one(m: Column) -> Column:
+        digits = F.regexp_extract(m, r"^&#([0-9]+)", 1)
+        code = F.when(digits != "", digits.cast("int")).otherwise(F.conv(F.regexp_extract(m, r"^&#[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("int"))
+        return F.when(m.startswith("&#"), F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), utf8(code)).otherwise(m)).otherwise(F.coalesce(F.element_at(names, m), m))
+
+    found = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    zipped = lambda found: F.array_join(F.transform(F.split(c, REFERENCE, -1), lambda g, i: F.concat(g, F.coalesce(F.when(i < F.size(found), one(F.get(found, i))), F.lit("")))), "")
+    return let(found, zipped)
+
+
+def utf8(code: Column) -> Column:
+    """The character of a code point."""
+    byte = lambda lead, shift: lead + F.shiftright(code, shift) % (64 if lead == 128 else 256)
+    parts = F.when(code < 0x80, F.array(code)).when(code < 0x800, F.array(byte(192, 6), byte(128, 0))).when(code < 0x10000, F.array(byte(224, 12), byte(128, 6), byte(128, 0))).otherwise(F.array(byte(240, 18), byte(128, 12), byte(128, 6), byte(128, 0)))
+    return F.decode(F.unhex(F.array_join(F.transform(parts, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8")
 
 
 def html_to_text(c: Column) -> Column:
-    """Markup to lines: navigation and code dropped, block ends as line breaks."""
+    """Markup to lines: navigation and code dropped, block ends as line breaks, one empty line where there were more."""
     c = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<header.*?</header>", " ")
-    c = F.regexp_replace(c, r"(?i)</(?:p|div|li|h[1-6]|tr|section)>|<br\s*/?>", "\n")
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    c = F.regexp_replace(c, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(c, r"\n\s*\n+", "\n"))
+    c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(?:p|li|h\d|div)>", "\n")
+    c = unescape_html(F.regexp_replace(c, r"<[^>]+>", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"\n\s*\n+", "\n\n"), r"[ \t]+", " "), F.lit(" \t\n\r\f\u000b\u00a0"))
 
 
 #: Characters that LaTeX text must write otherwise.

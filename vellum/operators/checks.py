@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tex_escape, word_count
@@ -11,7 +11,7 @@ from vellum.operators.learning import keywords
 LIMITS = {"title_words": 15, "abstract_words": 250, "keywords_min": 3, "keywords_max": 6, "total_words": 3000}
 
 
-def checks(blocks: DataFrame, limits: dict[str, int] | None = None, sections: tuple[str, ...] = ("Introduction", "Results", "Conclusion")) -> DataFrame:
+def checks(blocks: DataFrame, limits: dict[str, int | Column] | None = None, sections: tuple[str, ...] = ("Introduction", "Results", "Conclusion")) -> DataFrame:
     """doc_id, name, ok, detail. One grouped pass over the blocks and one anti-join for captions that no text mentions."""
     lim = LIMITS | (limits or {})
     role, words = F.col("role"), word_count(F.col("text"))

@@ -1,72 +1,159 @@
-"""Formatted runs: array<struct<text, bold, italic, sup, sub>> edited in place by higher-order functions."""
+"""Formatted runs: an array of structs, edited in place by higher-order functions. A run is text with marks, or mathematics
+(omml, latex) or an object (raw) without text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RUN = "struct<text:string,bold:boolean,italic:boolean,sup:boolean,sub:boolean>"
+from vellum.functions.text import let
 
+OBJECT = "struct<kind:string,data:binary,ext:string,width_in:double,height_in:double,inline:boolean>"
+RUN = f"struct<text:string,bold:boolean,italic:boolean,sup:boolean,sub:boolean,omml:string,latex:string,cite:boolean,size:double,raw:string,object:{OBJECT}>"
 
-def run(text: Column, bold: Column, italic: Column, sup: Column, sub: Column) -> Column:
-    return F.struct(text.alias("text"), bold.alias("bold"), italic.alias("italic"), sup.alias("sup"), sub.alias("sub"))
+
+def run(text: Column, bold: Column | bool = False, italic: Column | bool = False, sup: Column | bool = False, sub: Column | bool = False, cite: Column | bool = False, latex: Column | None = None) -> Column:
+    flag = lambda x, n: (F.lit(x) if isinstance(x, bool) else x).alias(n)
+    none = lambda n, t: F.lit(None).cast(t).alias(n)
+    math = none("latex", "string") if latex is None else latex.alias("latex")
+    return F.struct(
+        text.alias("text"), flag(bold, "bold"), flag(italic, "italic"), flag(sup, "sup"), flag(sub, "sub"),
+        none("omml", "string"), math, flag(cite, "cite"), none("size", "double"), none("raw", "string"), none("object", OBJECT),
+    )
+
+
+def no_runs() -> Column:
+    return F.array().cast(f"array<{RUN}>")
+
+
+def is_math(r: Column) -> Column:
+    """Mathematics, or an object that stands for it."""
+    return r["omml"].isNotNull() | r["latex"].isNotNull() | r["raw"].isNotNull()
 
 
 def same_format(a: Column, b: Column) -> Column:
-    return (a["bold"] == b["bold"]) & (a["italic"] == b["italic"]) & (a["sup"] == b["sup"]) & (a["sub"] == b["sub"])
+    same = (a["bold"] == b["bold"]) & (a["italic"] == b["italic"]) & (a["sup"] == b["sup"]) & (a["sub"] == b["sub"])
+    return same & ~a["cite"] & ~b["cite"] & ~is_math(a) & ~is_math(b)
 
 
 def merge_runs(runs: Column) -> Column:
-    """Neighbours of equal format as one run."""
-    empty = F.array().cast(f"array<{RUN}>")
+    """Neighbours of equal format as one run; citations stay apart. Islands by their first places, so no run is copied twice."""
+
+    def of(runs: Column) -> Column:
+        first = F.filter(F.transform(runs, lambda r, i: F.when((i == 0) | ~same_format(r, F.get(runs, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+
+        def islands(first: Column) -> Column:
+            def island(at: Column, k: Column) -> Column:
+                own = F.slice(runs, at + 1, F.coalesce(F.get(first, k + 1), F.size(runs)) - at)
+                return F.get(runs, at).withField("text", F.array_join(F.transform(own, lambda r: r["text"]), ""))
+
+            return F.transform(first, island)
 
-    def add(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = run(F.concat(last["text"], r["text"]), r["bold"], r["italic"], r["sup"], r["sub"])
-        merged = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))
-        return F.when(F.size(acc) == 0, F.array(r)).when(same_format(last, r), merged).otherwise(F.concat(acc, F.array(r)))
+        return let(first, islands)
 
-    return F.aggregate(runs, empty, add)
+    return let(runs, of)
 
 
 def plain(runs: Column) -> Column:
-    return F.array_join(F.transform(runs, lambda r: r["text"]), "")
+    """The text, with mathematics as its LaTeX or a mark."""
+    return F.array_join(F.transform(runs, lambda r: F.when(is_math(r), F.coalesce(r["latex"], F.lit("[math]"))).otherwise(r["text"])), "")
+
+
+def text_of(runs: Column) -> Column:
+    """The text without mathematics."""
+    return F.array_join(F.transform(F.filter(runs, lambda r: ~is_math(r)), lambda r: r["text"]), "")
+
+
+def starts(runs: Column) -> Column:
+    """Where each run begins in the text."""
+    lengths = F.transform(runs, lambda r: F.when(is_math(r), 0).otherwise(F.length(r["text"])))
+    return F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
 
 
 def drop_chars(runs: Column, n: Column) -> Column:
-    """The first n characters gone, across runs."""
-    start = F.struct(n.cast("int").alias("left"), F.array().cast(f"array<{RUN}>").alias("out"))
+    """The first n characters gone, across runs; mathematics stays."""
+
+    def of(x: Column) -> Column:
+        cut = lambda r, i: r.withField("text", F.substring(r["text"], F.greatest(x["n"] - F.get(x["begin"], i), F.lit(0)) + 1, F.length(r["text"])))
+        kept = F.transform(x["runs"], lambda r, i: F.when(is_math(r), r).otherwise(cut(r, i)))
+        return F.filter(kept, lambda r: (r["text"] != "") | is_math(r))
+
+    return let(let(runs, lambda runs: F.struct(runs.alias("runs"), starts(runs).alias("begin"), n.cast("int").alias("n"))), of)
+
 
-    def step(acc: Column, r: Column) -> Column:
-        length = F.length(r["text"])
-        cut = F.least(acc["left"], length)
-        kept = run(F.substring(r["text"], cut + 1, length), r["bold"], r["italic"], r["sup"], r["sub"])
-        return F.struct((acc["left"] - cut).alias("left"), F.when(cut < length, F.concat(acc["out"], F.array(kept))).otherwise(acc["out"]).alias("out"))
+def trim_leading(runs: Column, rest: Column) -> Column:
+    """Runs from where `rest` begins on, told by its first letters, blanks aside; the rest as one run where it isn't found."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
 
-    return F.aggregate(runs, start, step, lambda a: a["out"])
+    def places(x: Column) -> Column:
+        probe = F.substring(x["target"], 1, 12)
+        return F.struct(x["runs"].alias("runs"), x["target"].alias("target"), x["full"].alias("full"), F.instr(x["full"], probe).alias("exact"), (F.instr(bare(x["full"]), bare(probe)) - 1).alias("before"))
+
+    def cut(x: Column) -> Column:
+        pattern = F.concat(F.lit(r"^(?:\s*\S){"), F.greatest(x["before"], F.lit(0)).cast("string"), F.lit(r"}\s*"))
+        loose = F.length(F.call_function("regexp_extract", x["full"], pattern, F.lit(0)))
+        kept = drop_chars(x["runs"], F.when(x["exact"] > 0, x["exact"] - 1).otherwise(loose))
+        stripped = F.transform(kept, lambda r, i: F.when((i == 0) & ~is_math(r), r.withField("text", F.ltrim(r["text"]))).otherwise(r))
+        return F.when(x["target"] == "", no_runs()).when((x["exact"] == 0) & (x["before"] < 0), F.array(run(x["target"]))).otherwise(stripped)
+
+    target = F.trim(F.regexp_replace(rest, r"(?U)\s+", " "))
+    told = let(runs, lambda runs: F.struct(runs.alias("runs"), target.alias("target"), text_of(runs).alias("full")))
+    return let(let(told, places), cut)
+
+
+def strip_trailing(runs: Column) -> Column:
+    """Blanks and tabs at the end gone, across runs, up to the last mathematics."""
+    solid = F.filter(F.transform(runs, lambda r, i: F.when(is_math(r) | (F.regexp_replace(r["text"], r"[ \t]+$", "") != ""), i)), lambda i: i.isNotNull())
+    last = F.coalesce(F.array_max(solid), F.lit(-1))
+    return F.transform(F.slice(runs, F.lit(1), last + 1), lambda r, i: F.when((i == last) & ~is_math(r), r.withField("text", F.regexp_replace(r["text"], r"[ \t]+$", ""))).otherwise(r))
 
 
 def partial_emphasis(runs: Column, mark: str) -> Column:
     """Whether emphasis is kept: some runs of the text have it, not all."""
-    filled = F.filter(runs, lambda r: F.trim(r["text"]) != "")
+    filled = F.filter(runs, lambda r: (F.trim(r["text"]) != "") & ~is_math(r))
     return F.exists(filled, lambda r: r[mark]) & ~F.forall(filled, lambda r: r[mark])
 
 
+def without_whole_emphasis(runs: Column) -> Column:
+    """Runs whose bold or italic covers the whole text have it no more: the style of a title or heading gives it."""
+    filled = F.filter(runs, lambda r: (F.trim(r["text"]) != "") & ~is_math(r))
+    all_of = lambda mark: (F.size(filled) > 0) & F.forall(filled, lambda r: r[mark])
+    bold, italic = all_of("bold"), all_of("italic")
+    return F.transform(runs, lambda r: r.withField("bold", r["bold"] & ~bold).withField("italic", r["italic"] & ~italic))
+
+
+def replace_spans(runs: Column, spans: Column) -> Column:
+    """Each span array<struct<start, end, new: array of runs>> (places in the text, ascending, apart from each other) gives way
+    to its runs, with the marks of the run it begins in; a cited run keeps only bold. Mathematics inside a span stays."""
+
+    def of(x: Column) -> Column:
+        def pieces(r: Column, i: Column) -> Column:
+            at = F.get(x["begin"], i)
+            told = F.struct(at.alias("at"), F.filter(x["spans"], lambda s: (s["start"] < at + F.length(r["text"])) & (s["end"] > at)).alias("own"))
+            return F.when(is_math(r), F.array(r)).otherwise(let(told, lambda y: cut(r, y)))
+
+        def cut(r: Column, y: Column) -> Column:
+            part = lambda a, b: r.withField("text", F.substring(r["text"], F.greatest(a - y["at"], F.lit(0)) + 1, F.greatest(b - F.greatest(a, y["at"]), F.lit(0))))
+            marked = lambda n: n.withField("bold", r["bold"]).withField("italic", r["italic"] & ~n["cite"])
+
+            def one(s: Column, k: Column) -> Column:
+                before = F.when(k == 0, y["at"]).otherwise(F.get(y["own"], F.greatest(k - 1, F.lit(0)))["end"])
+                made = F.when(s["start"] >= y["at"], F.transform(s["new"], marked)).otherwise(no_runs())
+                return F.concat(F.array(part(before, s["start"])), made)
+
+            last = F.get(y["own"], F.size(y["own"]) - 1)["end"]
+            tail = F.array(part(last, y["at"] + F.length(r["text"])))
+            return F.when(F.size(y["own"]) == 0, F.array(r)).otherwise(F.concat(F.flatten(F.transform(y["own"], one)), tail))
+
+        return F.filter(F.flatten(F.transform(x["runs"], pieces)), lambda r: (r["text"] != "") | is_math(r))
+
+    return let(let(runs, lambda runs: F.struct(runs.alias("runs"), starts(runs).alias("begin"), spans.alias("spans"))), of)
+
+
 def replace_span(runs: Column, start: Column, end: Column, new: Column) -> Column:
     """Characters start to end (0-based, over the whole text) replaced; the new text has the format of the run it begins in."""
-    lengths = F.transform(runs, lambda r: F.length(r["text"]))
-    before = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-
-    def pieces(r: Column, i: Column) -> Column:
-        at, n = before(i), F.length(r["text"])
-        a, b = F.greatest(F.lit(0), start - at), F.least(n, end - at)
-        part = lambda t: run(t, r["bold"], r["italic"], r["sup"], r["sub"])
-        begins = (start >= at) & (start < at + n)
-        hit = (a < n) & (b > 0)
-        whole = F.array(part(F.substring(r["text"], F.lit(1), a)), part(F.when(begins, new).otherwise("")), part(F.substring(r["text"], b + 1, n)))
-        return F.when(hit, whole).otherwise(F.array(r))
-
-    return F.filter(F.flatten(F.transform(runs, pieces)), lambda r: r["text"] != "")
+    one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.array(run(new)).alias("new"))
+    return replace_spans(runs, F.array(one))
 
 
 def to_latex(runs: Column, escape) -> Column:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans.documents import ORACLES, QUERIES
+from vellum.plans import documents, manuscripts, scalar
+
+MODULES = (scalar, documents, manuscripts)  # each adds its queries to scalar.Q and scalar.O
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return dict(scalar.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(scalar.O)

@@ -140,8 +140,8 @@ FROM {REFS} r LEFT JOIN (SELECT doc_id, k, min({order}) AS seen FROM ({found}) m
 
 
 NUMERIC_K = f"SELECT n.*, CASE WHEN number <= s.n THEN number - 1 END AS k FROM ({NUMERIC}) n JOIN ({SIZES}) s USING (doc_id)"
-NEW_NUMERIC = f"SELECT * FROM ({_renumbered(f'SELECT * FROM ({NUMERIC_K}) z WHERE number <> 99', '[pos, mention, item]')}) z WHERE doc_id % 2 = 0"
-NEW_DATED = f"SELECT * FROM ({_renumbered(DATED, '[pos, parenthetical, mention, item]')}) z WHERE doc_id % 2 = 1"
+NEW_NUMERIC = _renumbered(f"SELECT * FROM ({NUMERIC_K}) z WHERE number <> 99", "[pos, mention, item]")
+NEW_DATED = _renumbered(DATED, "[pos, parenthetical, mention, item]")
 
 
 @query(f"SELECT doc_id, pos, CAST(mention AS BIGINT) AS mention, CAST(item AS BIGINT) AS item, CAST(number AS BIGINT) AS number, CAST(k AS BIGINT) AS k FROM ({NUMERIC_K}) z")
@@ -178,8 +178,8 @@ _NM = _compressed(f"SELECT m.doc_id, m.pos, m.mention, w.new_num AS n FROM ({NUM
 _LEAD = "regexp_replace(b.text, '( \\[[0-9, –]+\\]| and \\[[0-9]+\\])+\\.$', '')"
 
 
-@query(f"""WITH n AS ({_NM}), b AS (SELECT b.*, c.ln FROM {BLOCKS} b JOIN ({CITES}) c ON c.doc_id = b.doc_id AND c.pos = b.pos WHERE b.role = 'para' AND b.doc_id % 2 = 0)
-SELECT b.doc_id, b.pos, CASE WHEN b.ln % 4 = 3 THEN b.text WHEN b.ln % 4 = 1 THEN {_LEAD} || ' [' || x.numbers || '] and [' || y.numbers || '].' ELSE {_LEAD} || ' [' || x.numbers || '].' END AS text
+@query(f"""WITH n AS ({_NM}), b AS (SELECT b.*, c.ln FROM {BLOCKS} b JOIN ({CITES}) c ON c.doc_id = b.doc_id AND c.pos = b.pos WHERE b.role = 'para')
+SELECT b.doc_id, b.pos, CASE WHEN b.ln % 4 = 3 OR b.doc_id % 2 = 1 THEN b.text WHEN b.ln % 4 = 1 THEN {_LEAD} || ' [' || x.numbers || '] and [' || y.numbers || '].' ELSE {_LEAD} || ' [' || x.numbers || '].' END AS text
 FROM b LEFT JOIN n x ON x.doc_id = b.doc_id AND x.pos = b.pos AND x.mention = 0 LEFT JOIN n y ON y.doc_id = b.doc_id AND y.pos = b.pos AND y.mention = 1""")
 def cite_convert(spark, sf_dir):
     b, r = derived.blocks(spark, sf_dir), refs_of(spark, sf_dir).withColumn("etal", F.lit(False))
@@ -190,8 +190,8 @@ def cite_convert(spark, sf_dir):
 _AY = f"family1 || CASE WHEN na > 2 THEN ' et al.' WHEN na = 2 THEN ' and ' || family2 ELSE '' END || ', ' || year || suffix"
 
 
-@query(f"""WITH t AS (SELECT doc_id, pos, mention, '(' || string_agg({_AY}, '; ' ORDER BY item) || ')' AS t FROM ({NUMERIC_K}) m JOIN {REFS} r USING (doc_id, k) GROUP BY ALL), b AS (SELECT b.*, c.ln FROM {BLOCKS} b JOIN ({CITES}) c ON c.doc_id = b.doc_id AND c.pos = b.pos WHERE b.role = 'para' AND b.doc_id % 2 = 0)
-SELECT b.doc_id, b.pos, CASE WHEN b.ln % 4 = 3 THEN b.text WHEN b.ln % 4 = 1 THEN {_LEAD} || ' ' || x.t || ' and ' || y.t || '.' ELSE {_LEAD} || ' ' || x.t || '.' END AS text
+@query(f"""WITH t AS (SELECT doc_id, pos, mention, '(' || string_agg({_AY}, '; ' ORDER BY item) || ')' AS t FROM ({NUMERIC_K}) m JOIN {REFS} r USING (doc_id, k) GROUP BY ALL), b AS (SELECT b.*, c.ln FROM {BLOCKS} b JOIN ({CITES}) c ON c.doc_id = b.doc_id AND c.pos = b.pos WHERE b.role = 'para')
+SELECT b.doc_id, b.pos, CASE WHEN b.ln % 4 = 3 OR b.doc_id % 2 = 1 THEN b.text WHEN b.ln % 4 = 1 THEN {_LEAD} || ' ' || x.t || ' and ' || y.t || '.' ELSE {_LEAD} || ' ' || x.t || '.' END AS text
 FROM b LEFT JOIN t x ON x.doc_id = b.doc_id AND x.pos = b.pos AND x.mention = 0 LEFT JOIN t y ON y.doc_id = b.doc_id AND y.pos = b.pos AND y.mention = 1""")
 def cite_convert_to_author_year(spark, sf_dir):
     b, r = derived.blocks(spark, sf_dir), refs_of(spark, sf_dir).withColumn("etal", F.lit(False))
@@ -202,8 +202,8 @@ def cite_convert_to_author_year(spark, sf_dir):
 _DM = _compressed(f"SELECT m.doc_id, m.pos, m.mention, w.new_num AS n FROM ({DATED}) m JOIN ({NEW_DATED}) w ON w.doc_id = m.doc_id AND w.k = m.k", "doc_id, pos, mention")
 
 
-@query(f"""WITH n AS ({_DM}), b AS (SELECT b.*, c.ln FROM {BLOCKS} b JOIN ({CITES}) c ON c.doc_id = b.doc_id AND c.pos = b.pos WHERE b.role = 'para' AND b.doc_id % 2 = 1)
-SELECT b.doc_id, b.pos, CASE b.ln % 4 WHEN 3 THEN b.text WHEN 1 THEN regexp_replace(b.text, ' \\([^()]*\\) disagreed \\([^()]*\\)\\.$', ' [' || x.numbers || '] disagreed [' || y.numbers || '].') ELSE regexp_replace(b.text, '\\([^()]*\\)\\.$', '[' || x.numbers || '].') END AS text
+@query(f"""WITH n AS ({_DM}), b AS (SELECT b.*, c.ln FROM {BLOCKS} b JOIN ({CITES}) c ON c.doc_id = b.doc_id AND c.pos = b.pos WHERE b.role = 'para')
+SELECT b.doc_id, b.pos, CASE CASE WHEN b.doc_id % 2 = 0 THEN 3 ELSE b.ln % 4 END WHEN 3 THEN b.text WHEN 1 THEN regexp_replace(b.text, ' \\([^()]*\\) disagreed \\([^()]*\\)\\.$', ' [' || x.numbers || '] disagreed [' || y.numbers || '].') ELSE regexp_replace(b.text, '\\([^()]*\\)\\.$', '[' || x.numbers || '].') END AS text
 FROM b LEFT JOIN n x ON x.doc_id = b.doc_id AND x.pos = b.pos AND x.mention = 0 LEFT JOIN n y ON y.doc_id = b.doc_id AND y.pos = b.pos AND y.mention = 1""")
 def cite_convert_to_numeric(spark, sf_dir):
     b = derived.blocks(spark, sf_dir)
@@ -217,7 +217,7 @@ def citation_mode(spark, sf_dir):
     return citations.citation_mode(derived.blocks(spark, sf_dir))
 
 
-@query(f"SELECT r.doc_id, r.k FROM {REFS} r ANTI JOIN ({NUMERIC_K}) m ON m.doc_id = r.doc_id AND m.k = r.k WHERE r.doc_id % 2 = 0")
+@query(f"SELECT r.doc_id, r.k FROM {REFS} r ANTI JOIN ({NUMERIC_K}) m ON m.doc_id = r.doc_id AND m.k = r.k")
 def uncited_refs(spark, sf_dir):
     b, r = derived.blocks(spark, sf_dir), refs_of(spark, sf_dir)
     return citations.uncited(r, citations.match_numbers(citations.bracket_mentions(b), r))
@@ -377,7 +377,7 @@ _GUIDE = """SELECT doc_id, 'Manuscripts should be typed in ' || CASE doc_id % 3
 || CASE doc_id % 3 WHEN 0 THEN 'APA' WHEN 1 THEN 'Vancouver' ELSE 'numbers in square brackets for' END || ' references. Headings should ' || CASE doc_id % 2 WHEN 0 THEN 'not ' ELSE '' END || 'be numbered. The paper must include a Funding statement.' AS text FROM {documents} d"""
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' ELSE 'Palatino Linotype' END AS font, CAST(9 + doc_id % 4 AS DOUBLE) AS font_size, CASE doc_id % 2 WHEN 0 THEN 2.0 ELSE 1.0 END AS line_spacing, CASE doc_id % 2 WHEN 0 THEN 2.5 ELSE 2.54 END AS margin_cm, 'A4' AS page_size,
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' ELSE 'Palatino Linotype' END AS font, CAST(9 + doc_id % 4 AS DOUBLE) AS font_size, CAST(CASE doc_id % 2 WHEN 0 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS line_spacing, CAST(CASE doc_id % 2 WHEN 0 THEN 2.5 ELSE 2.54 END AS DOUBLE) AS margin_cm, 'A4' AS page_size,
 CAST(150 + doc_id % 100 AS INTEGER) AS abstract_words, 3 AS keywords_min, CAST(5 + doc_id % 3 AS INTEGER) AS keywords_max, CAST(10 + doc_id % 9 AS INTEGER) AS title_words, 8000 AS total_words, CASE doc_id % 3 WHEN 0 THEN 'apa' ELSE 'vancouver' END AS ref_style, CASE doc_id % 3 WHEN 0 THEN 'author-year' ELSE 'numeric' END AS cite_mode,
 CASE doc_id % 2 WHEN 0 THEN 'none' ELSE 'decimal' END AS scheme, 'Funding' AS required_sections FROM documents""")
 def guidelines_extract(spark, sf_dir):
