@@ -15,7 +15,8 @@ ties of thousands of copies cost one row.
 Queries and candidates meet in blocks: the rows are dealt into groups by a hash of their id and the queries into
 blocks, and each (group, query block) is one bounded task. Nulls: a vector that is null, holds a null or a non-finite
 component takes no part. A null id takes no part. Ties go to the smaller id. Repeated ids are candidates as often as
-they occur. Empty tables give an empty result. Vectors of different length raise an error. Other columns are ignored.
+they occur. Empty tables give an empty result. Vectors of different length, and components so large that a score could
+leave 64 bits, raise an error before the search. Only the id and the vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -166,7 +167,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         .where(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0))
         .where(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))))
     )
-    sizes = usable.agg(F.count("*").alias("n"), F.sum((F.pmod("id", F.lit(every)) == 0).cast("bigint")).alias("q")).first()
+    length, largest = F.size(x), F.array_max(F.transform(x, F.abs))
+    sizes = usable.agg(
+        F.count("*").alias("n"), F.sum((F.pmod("id", F.lit(every)) == 0).cast("bigint")).alias("q"),
+        F.min(length).alias("shortest"), F.max(length).alias("longest"), F.max(largest).alias("largest"),
+    ).first()
+    if sizes["n"] and sizes["shortest"] != sizes["longest"]:
+        raise ValueError(f"vectors of different length: {sizes['shortest']} to {sizes['longest']}")
+    if sizes["n"] and (256 * sizes["largest"] + 1) ** 2 * sizes["longest"] >= 2**62:
+        raise ValueError(f"components too large for exact integer scores: {sizes['largest']}")
     groups, blocks = max(1, math.ceil((sizes["n"] or 0) / group_rows)), max(1, math.ceil((sizes["q"] or 0) / query_rows))
     asked = usable.where(F.pmod("id", F.lit(every)) == 0).withColumn("h", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
