@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 
+from vellum.llm import common  # noqa: F401  (settings of a worker's memory)
+
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that are hashed at once: what bounds a worker's memory.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -29,7 +31,7 @@ def powers(n: int, way: str = "up") -> np.ndarray:
     """BASE^0 .. BASE^(n-1), or of its inverse."""
     if len(_powers[way]) < n:
         base = int(BASE) if way == "up" else inverse(int(BASE))
-        steps = np.full(max(n, SLICE), base, np.uint64)
+        steps = np.full(max(n + 1, SLICE + 2), base, np.uint64)
         steps[0] = 1
         _powers[way] = np.multiply.accumulate(steps)
     return _powers[way][:n]

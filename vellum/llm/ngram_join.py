@@ -48,8 +48,8 @@ def sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, demoted: int = 500_000) -> tuple[int, np.ndarray]:
     """(bits, fingerprints ascending) of the most frequent shingles of the whole corpus: those in `least` or more documents, at
-    most `demoted`. A fingerprint is a shingle's upper bits, enough that few collide. Each task counts a million at a time
-    before it sends them: sorted fingerprints as differences, two bytes each as a rule, and the counts over 1."""
+    most `demoted`. A fingerprint is a shingle's upper bits, enough that few collide. Each task counts half a million at a
+    time before it sends them: sorted fingerprints as differences, two bytes each as a rule, and the counts over 1."""
     bits = min(60, max(32, int(np.log2(max(total_bytes, 2))) + 4))
     down = np.uint64(64 - bits)
 
@@ -67,7 +67,7 @@ def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, de
             for _, v, _ in sets(b.column(0)):
                 held.append(v >> down)
                 size += len(v)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -85,7 +85,7 @@ def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, de
             for blob in b.column(1).to_pylist():
                 held.append(unsqueeze(blob))
                 size += len(held[-1][0])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     held = [merged()]
                     size = len(held[0][0]) // 2  # so that merging stays in proportion
         if held:
@@ -126,7 +126,7 @@ def fingerprint_bucket(v: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return (v // width).astype(np.int64)
 
 
-def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, per_task_memory: int = 1 << 20) -> DataFrame:
+def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, per_task_memory: int = 1 << 19) -> DataFrame:
     """Two kinds of rows: documents (row, n, set_a, set_b, grp) with a null blob, and postings (bucket, blob of (shingle, grp, kind))."""
     schema = "row bigint, n bigint, set_a bigint, set_b bigint, grp bigint, shape binary, bucket int, blob binary"
     down, (last, seen_in) = np.uint64(64 - common[0]), common[1]
