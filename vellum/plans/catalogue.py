@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import documents, manuscripts, scalar
+from vellum.plans import documents, manuscripts, pages, scalar
 
-MODULES = (scalar, documents, manuscripts)  # each adds its queries to scalar.Q and scalar.O
+MODULES = (scalar, documents, manuscripts, pages)  # each adds its queries to scalar.Q and scalar.O
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
