@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.sources.shared import written
+from vellum.sources.shared import once
 
 FAMILIES = ["García", "Müller", "Smith", "Kowalski", "Dubois", "O''Brien", "Nguyen", "Sánchez", "Larsen", "Rossi", "Ivanov", "Okafor"]
 INITIALS = [("A.B.", "A. B.", "AB"), ("C.", "C.", "C"), ("D.E.", "D. E.", "DE"), ("F.", "F.", "F"), ("G.", "G.", "G"), ("H.J.", "H. J.", "HJ"), ("K.", "K.", "K")]
@@ -125,13 +125,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, k, na, family1.., ini1.., title, container, kind, year, suffix, volume, issue, pages, doi, raw."""
-    return written(spark.sql(refs_sql("{d}"), d=documents(spark, sf_dir).select("doc_id", "text")))
+    return once(spark, "refs", sf_dir, lambda: spark.sql(refs_sql("{d}"), d=documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, role (the true one), text, level, cap_kind, cap_num. Written once: its many branches would be planned anew
     under every operator above."""
-    return written(spark.sql(blocks_sql("{d}", LINES_SPARK), d=documents(spark, sf_dir).select("doc_id", "text")))
+    return once(spark, "blocks", sf_dir, lambda: spark.sql(blocks_sql("{d}", LINES_SPARK), d=documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def with_authors(refs: DataFrame) -> DataFrame:
