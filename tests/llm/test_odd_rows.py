@@ -1,6 +1,7 @@
 """Rows of equal or null id, clashing column names and texts built against hashes, for the operators on documents."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -101,3 +102,16 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
         got = sorted(r["doc_id"] or 0 for r in corpus_pipeline.run(spark, folder).collect())
         assert got == ([0, 0, 1, 2] if rows else [])
+
+
+def test_counts_of_one_bucket():
+    rng = np.random.default_rng(1)
+    parts = [np.unique(rng.integers(0, 3000, 500).astype(np.uint64), return_counts=True) for _ in range(60)]
+    for v, n in parts[:5]:
+        got = ngram_join.unsqueeze(ngram_join.squeeze(v, n))
+        assert (got[0] == v).all() and (got[1] == n).all()
+    values, counts = ngram_join.tally(iter(parts), at_least=700)
+    want = Counter()
+    for v, n in parts:
+        want.update(dict(zip(v.tolist(), n.tolist())))
+    assert dict(zip(values.tolist(), counts.tolist())) == want and (np.diff(values.astype(np.int64)) > 0).all()

@@ -13,6 +13,7 @@ aggregates; nothing is gathered on the driver but counts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -76,34 +77,45 @@ def blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
 
-def by_bucket(blobs: DataFrame, buckets: int, work: Callable[[Iterator[list[np.ndarray]]], Iterator[list[np.ndarray]]], n_in: int, out: list[str], at_once: int = 1_500_000) -> DataFrame:
-    """work on each task's rows, dealt by bucket, in portions of about at_once rows; its output columns become bigint rows.
-    Buckets are dealt by hash and their number follows the input; what work keeps between portions is its own affair."""
+def one_bucket_each(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[bytes]]:
+    """The blobs of each bucket of a task whose rows (bucket, blob) are sorted, bucket after bucket."""
+    rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    for _, own in itertools.groupby(rows, key=lambda row: row[0]):
+        yield (blob for _, blob in own)
 
-    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+
+def dealt(blobs: DataFrame, buckets: int) -> DataFrame:
+    """Rows (bucket, blob) so that a task has whole buckets, one after another: it never holds more than one."""
+    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def by_bucket(blobs: DataFrame, buckets: int, work: Callable[[Iterator[list[np.ndarray]]], Iterator[list[np.ndarray]]], n_in: int, out: list[str], at_once: int = 1_000_000) -> DataFrame:
+    """work on the rows of each bucket, in portions of about at_once rows; its output columns become bigint rows. The number of
+    buckets follows the input; what work keeps between portions of a bucket is its own affair."""
+
+    def portions(own: Iterator[bytes]) -> Iterator[list[np.ndarray]]:
         held: list[list[np.ndarray]] = []
         size = 0
-        for b in batches:
-            for blob in b.column(1).to_pylist():
-                held.append(unpack(blob, n_in))
-                size += len(held[-1][0])
-                if size >= at_once:
-                    yield [np.concatenate([p[i] for p in held]) for i in range(n_in)]
-                    held, size = [], 0
+        for blob in own:
+            held.append(unpack(blob, n_in))
+            size += len(held[-1][0])
+            if size >= at_once:
+                yield [np.concatenate([p[i] for p in held]) for i in range(n_in)]
+                held, size = [], 0
         if held:
             yield [np.concatenate([p[i] for p in held]) for i in range(n_in)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for made in work(portions(batches)):
-            for at in range(0, len(made[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000].view(np.int64)) for c in made], names=out)
+        for own in one_bucket_each(batches):
+            for made in work(portions(own)):
+                for at in range(0, len(made[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000].view(np.int64)) for c in made], names=out)
 
-    dealt = blobs.repartition(buckets, "bucket")
-    return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in out))
+    return dealt(blobs, buckets).mapInArrow(run, ", ".join(f"{c} bigint" for c in out))
 
 
 def whole(work: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Callable[[Iterator[list[np.ndarray]]], Iterator[list[np.ndarray]]]:
-    """For by_bucket: work on all rows of a task at once."""
+    """For by_bucket: work on all rows of a bucket at once."""
 
     def run(portions: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
         parts = list(portions)

@@ -74,32 +74,41 @@ def frequent(docs: DataFrame, buckets: int, total_bytes: int, least: int = 8, de
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged():
-            v, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return v, np.bincount(at, np.concatenate([h[1] for h in held]), len(v)).astype(np.int64)
-
-        for b in batches:
-            for blob in b.column(1).to_pylist():
-                held.append(unsqueeze(blob))
-                size += len(held[-1][0])
-                if size > 1_000_000:
-                    held = [merged()]
-                    size = len(held[0][0]) // 2  # so that merging stays in proportion
-        if held:
-            v, n = merged()
+        for own in linking.one_bucket_each(batches):
+            v, n = tally(map(unsqueeze, own))
             keep = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(v[keep].astype(np.int64)), pa.array(n[keep])], names=["shingle", "n"])
 
-    blobs = docs.select("text").mapInArrow(run, "bucket int, blob binary").repartition(buckets, "bucket")
+    blobs = linking.dealt(docs.select("text").mapInArrow(run, "bucket int, blob binary"), buckets)
     counted = cut(blobs.mapInArrow(count, "shingle bigint, n bigint"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(demoted).toArrow()
     order = np.argsort(top.column("shingle").to_numpy(), kind="stable")
     return bits, np.stack([top.column("shingle").to_numpy()[order].astype(np.uint64), top.column("n").to_numpy()[order].astype(np.uint64)])
 
 
+def tally(parts: Iterator[tuple[np.ndarray, np.ndarray]], at_least: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the sums of their counts. New parts are merged when they are as many as what is merged
+    already, so the work stays in proportion."""
+    merged = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    new: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        v, n = (np.concatenate([merged[i], *[x[i] for x in new]]) for i in range(2))
+        order = np.argsort(v, kind="stable")
+        v, n = v[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+        return v[first], np.add.reduceat(n, first) if len(v) else n
+
+    for part in parts:
+        new.append(part)
+        size += len(part[0])
+        if size > max(at_least, len(merged[0])):
+            merged = merge()
+            new, size = [], 0
+    return merge() if new else merged
+
+
 def squeeze(values: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending distinct values with their counts: how many, the first, steps, then places and counts of those over 1."""
     steps = np.diff(values)
