@@ -36,13 +36,13 @@ SHAPE = 256
 FEW = 64
 
 
-def sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For slices of rows: the first row, the distinct shingles of its rows, and where each row's begin."""
     body, offsets = flat_bytes(texts)
     for first, last in row_slices(offsets, hashing.SLICE):
         own = offsets[first : last + 1] - offsets[first]
         h, rows, _, _ = hashing.words(body[offsets[first] : offsets[last]], own)
-        values, owner = hashing.shingles(h, rows, last - first)
+        values, owner = hashing.shingles(h, rows, last - first, k)
         yield (first, *hashing.distinct_by_row(values, owner, last - first))
 
 
@@ -203,8 +203,8 @@ def prefix_rows(docs: DataFrame, common: tuple[int, np.ndarray], buckets: int, p
     return docs.mapInArrow(run, schema)
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of row keys whose sets reach the threshold. Only the texts of documents in the pairs are shuffled."""
+def similar(pairs: DataFrame, docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Pairs (a, b) of row keys whose sets of k-word shingles have a similarity of num / den or more. Only the texts of documents in the pairs are shuffled."""
     pairs = cut(pairs)
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     needed = linking.bloom(ids, "id")
@@ -212,7 +212,7 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(linking.hits(needed, b)))
-            for first, values, begin in sets(b.column(1)):
+            for first, values, begin in sets(b.column(1), k):
                 blobs = [values[i:j].tobytes() for i, j in zip(begin, begin[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(blobs)), pa.array(blobs, pa.binary())], names=["id", "shingles"])
 
@@ -222,11 +222,11 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 x, y = b.column(2)[i].as_py(), b.column(3)[i].as_py()
                 m, n = len(x) // 8, len(y) // 8
-                ok = min(m, n) * DEN >= max(m, n) * NUM
+                ok = min(m, n) * den >= max(m, n) * num
                 if ok:
                     both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
                     inner = int((both[1:] == both[:-1]).sum())
-                    ok = DEN * inner >= NUM * (m + n - inner)
+                    ok = den * inner >= num * (m + n - inner)
                 keep.append(ok)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -15,9 +15,12 @@ from vellum.llm.common import table
 from vellum.llm.html_wrapper import extract
 from vellum.llm.line_dedup import dedup_lines
 from vellum.llm.ngram_join import near_duplicates
+from vellum.llm.odd_sketch import near_duplicates as near_by_sketches
+from vellum.llm.resampling import resample
 from vellum.llm.spaced_seeds import decontaminate
 from vellum.llm.suffix_sort import remove_repeats
 from vellum.llm.topk import top_k
+from vellum.llm.whitening import whiten
 
 #: Grades of severity from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of bad quality.
 GRADE = "CASE WHEN toxic > 0 THEN 2 - least(coalesce(quality, 0), 1) WHEN toxic = 0 THEN 0 END"
@@ -130,6 +133,50 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+w AS (
+  SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark
+), x AS (
+  SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM w
+), u AS (SELECT side, doc_id, unnest(ws) AS f FROM x),
+h AS (SELECT f, hex(encode(f)) AS code FROM (SELECT DISTINCT f FROM u)),
+b AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(code), 2), lambda i: CAST('0x' || code[i:i + 1] AS BIGINT))),
+                            lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM h, crc
+), c AS (SELECT side, doc_id, bucket, count(*) AS n FROM u JOIN b USING (f) GROUP BY ALL),
+g AS (
+  SELECT i AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(coalesce(s, 0)) OVER () + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (sum(coalesce(t, 0)) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) r(i) LEFT JOIN (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 't') AS t FROM c GROUP BY bucket) m ON m.bucket = i
+), v AS (SELECT doc_id, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM c JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+z AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM x LEFT JOIN v USING (doc_id) WHERE side = 'd'
+), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT z.*, CASE WHEN r.rank <= 10 * r.n // 100 THEN r.rank END::BIGINT AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), k=4)
+
+
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_by_sketches(table(spark, sf_dir, "documents"))
+
+
+#: As OP8_SQL, with shingles of two words and another threshold.
+OP13_SQL = OP8_SQL.replace("len(ws) < 5", "len(ws) < 2").replace("range(1, len(ws) - 3)", "range(1, len(ws))").replace("ws[i:i + 4]", "ws[i:i + 1]").replace(">= 75 *", ">= 80 *")
+OP13_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({OP13_SQL})"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -142,8 +189,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_decontamination": op9_decontamination,
         "op10_token_counts": op10_token_counts,
+        "op11_resampling": op11_resampling,
+        "op12_whitening": op12_whitening,
+        "op13_odd_sketch": op13_odd_sketch,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op8_ngram_join": OP8_SQL, "op11_resampling": OP11_SQL, "op13_odd_sketch": OP13_SQL}
