@@ -155,21 +155,30 @@ def live_postings(portions: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndar
         wait = [r[~good[group]] for r in rows]
 
 
-def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resolve(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], traits: DataFrame, candidates: Callable[[DataFrame], DataFrame], rounds: int = 0) -> DataFrame:
     """Links (a, b) that connect what the postings (key, id) and the verification of pairs (a < b) allow: every component of
     the full link graph is connected by them. The postings are read several times; pass written ones, which may have a
     column `kind` beside. traits: columns beside id; candidates: from written rows (key, id, label, kind, traits) to the
-    pairs (a, b) of one key and two labels that can be links."""
+    pairs (a, b) of one key and two labels that can be links. rounds: how often the star is repeated with other centres in the
+    keys that are still open; in large groups whose smallest id is far from most this leaves few ids to the last step."""
     pivot = postings.groupBy("key").agg(F.min("id").alias("a"))
-    star = cut(postings.join(pivot, "key").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct())
-    links = cut(verify(star))
-    labels = components(links)
-    named = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("key")
-    rest = cut(named.join(open_keys, "key"))
+    tried = cut(postings.join(pivot, "key").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct())
+    links = cut(verify(tried))
+    rest = postings
+    for n in range(rounds + 1):
+        labels = components(links)
+        named = rest.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        open_keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where(F.col("l") != F.col("h")).select("key")
+        rest = cut(named.join(open_keys, "key"))
+        if n == rounds:
+            break
+        centre = rest.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(n))).alias("c"))
+        pairs = rest.join(centre, "key").where(F.col("label") != F.col("c.label")).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        links, tried, rest = cut(links.unionByName(verify(pairs))), tried.unionByName(pairs), rest.drop("label")
     own = traits.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     rest = cut(rest.join(own, "id"))
-    pairs = candidates(rest).join(star, ["a", "b"], "left_anti")
+    pairs = candidates(rest).join(tried, ["a", "b"], "left_anti")
     return links.unionByName(cut(verify(pairs)))
 
 

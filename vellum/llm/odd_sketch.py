@@ -8,8 +8,12 @@
    XOR of two sketches and its ones count the places that differ. Differing samples toggle two bits each, and collisions
    only remove ones, so a pair of more ones than `most_ones` has fewer equal samples than a pair at the threshold
    does but once in 10^9. Such candidates go without a look at their texts; `estimate` gives the similarity meant by a count.
-4. What remains is confirmed on the whole sets, and components are made without all pairs of a key (linking.resolve: the
-   smallest id of a key first, then only pairs across components, in blocks where a key holds many).
+4. A parity bitmap of the set itself bounds the number of shingles in which two sets differ from below, exactly; a pair that
+   differs in more than the threshold allows goes as well. Small and middling sets are told apart by this, large ones by
+   the samples.
+5. What remains is confirmed on the whole sets, and components are made without all pairs of a key (linking.resolve: each id
+   of a key against its smallest, then against a few centres in turn, then only pairs across components, in blocks where a
+   key holds many).
 
 A set of fewer than 4 shingles reaches the threshold with an equal set only, so it has no keys.
 
@@ -40,6 +44,8 @@ SAMPLES, ROWS, BITS = 128, 4, 1024
 LEAST = -(-NUM // (DEN - NUM))
 #: Ids of a key that are paired by a join; more are paired in blocks.
 FEW = 64
+#: Centres of a key that its ids are held against before pairs across components are.
+ROUNDS = 4
 #: Odd multipliers of the samples.
 ODD = hashing.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -57,6 +63,12 @@ def sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(spot.ravel(), minlength=n * BITS).astype(np.uint8).reshape(n, BITS) & 1, axis=1)
 
 
+def parities(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """For each of n sets the parity of its shingles by their BITS cells, BITS / 8 bytes."""
+    spot = (values >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64) + rows * BITS
+    return np.packbits(np.bincount(spot, minlength=n * BITS).astype(np.uint8).reshape(n, BITS) & 1, axis=1)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """A row for each set, a key for each band."""
     return np.stack([hashing.combine(list(samples[at : at + ROWS]), 1 + at) for at in range(0, SAMPLES, ROWS)], axis=1)
@@ -82,7 +94,8 @@ MOST_ONES = most_ones()
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """row, n (size of the set), set_a and set_b (its 128-bit name), sketch and bands (null where no different set can be near)."""
+    """row, n (size of the set), set_a and set_b (its 128-bit name), sketch (that of the samples, then the set's own parities)
+    and bands; both null where no different set can be near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,7 +111,8 @@ def described(docs: DataFrame) -> DataFrame:
                 if len(able):
                     keep = np.repeat(count >= LEAST, count)
                     samples = min_hashes(values[keep], np.cumsum(count[able]) - count[able])
-                    for i, s, k in zip(able, sketches(samples), band_keys(samples).view(np.int64)):
+                    both = np.concatenate([sketches(samples), parities(values[keep], np.repeat(np.arange(len(able)), count[able]), len(able))], axis=1)
+                    for i, s, k in zip(able, both, band_keys(samples).view(np.int64)):
                         sketch[i], bands[i] = s.tobytes(), k
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(count)), pa.array(count), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -109,31 +123,37 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def bits(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    """The two bitmaps of each row as 64-bit words: (rows, 2, words)."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2, BITS // 64)
+
+
+def may_be_near(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether bitmaps x and y of sets of together `total` shingles allow the threshold: sets that differ in d of them have a
+    similarity of (total - d) / (total + d)."""
+    ones = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return (ones[..., 0] <= MOST_ONES) & (ones[..., 1] * (DEN + NUM) <= total * (DEN - NUM))
 
 
-def few_ones(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with sketches xa and xb that may reach the threshold."""
+def near_by_bits(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sizes na and nb with sketches xa and xb that may reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ones = np.bitwise_count(bits(b.column(2)) ^ bits(b.column(3))).sum(1)
-                yield b.select(["a", "b"]).filter(pa.array(ones <= MOST_ONES))
+                total = b.column(4).to_numpy() + b.column(5).to_numpy()
+                yield b.select(["a", "b"]).filter(pa.array(may_be_near(bits(b.column(2)), bits(b.column(3)), total)))
 
-    return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_sketches(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For linking.in_blocks: pairs of different labels whose sizes and sketches allow the threshold."""
+    """For linking.in_blocks: pairs of different labels whose sizes and bitmaps allow the threshold."""
     x, y = bits(left.column("sketch")), bits(right.column("sketch"))
     (m, n), (label, labels) = ([t.column(c).to_numpy() for t in (left, right)] for c in ("n", "label"))
     for i in range(len(x)):
         j = np.flatnonzero((np.minimum(m[i], n) * DEN >= np.maximum(m[i], n) * NUM) & (label[i] != labels))
         if len(j):
-            j = j[np.bitwise_count(x[i] ^ y[j]).sum(1) <= MOST_ONES]
+            j = j[may_be_near(x[i], y[j], m[i] + n[j])]
             yield np.full(len(j), i), j
 
 
@@ -150,7 +170,7 @@ def rows_with_components(docs: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (own.select(F.col("rep").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"x{i}")) for i in "ab")
         near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
-        return similar(few_ones(near), docs, SHINGLE, NUM, DEN)
+        return similar(near_by_bits(near), docs, SHINGLE, NUM, DEN)
 
     def sized(x: str, y: str):
         m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -161,7 +181,7 @@ def rows_with_components(docs: DataFrame) -> DataFrame:
         few = linking.joined(rest.join(many, "key", "left_anti"), sized)
         return few.unionByName(linking.in_blocks(rest.join(many, "key"), marks.withColumnRenamed("rep", "id"), near_sketches)).distinct()
 
-    labels = linking.components(linking.resolve(postings, verify, sizes.withColumnRenamed("rep", "id"), candidates))
+    labels = linking.components(linking.resolve(postings, verify, sizes.withColumnRenamed("rep", "id"), candidates, ROUNDS))
     of_set = reps.join(labels, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n", F.coalesce("label", "rep").alias("label"))
     return made.select("row", "n", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n"], "left").select("row", "n", F.coalesce("label", "row").alias("label"))
 
