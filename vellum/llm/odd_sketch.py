@@ -12,8 +12,7 @@
    differs in more than the threshold allows goes as well. Small and middling sets are told apart by this, large ones by
    the samples.
 5. What remains is confirmed on the whole sets, and components are made without all pairs of a key (linking.resolve: each id
-   of a key against its smallest, then against a few centres in turn, then only pairs across components, in blocks where a
-   key holds many).
+   of a key against its smallest, then only pairs across components, in blocks where a key holds many).
 
 A set of fewer than 4 shingles reaches the threshold with an equal set only, so it has no keys.
 
@@ -44,8 +43,6 @@ SAMPLES, ROWS, BITS = 128, 4, 1024
 LEAST = -(-NUM // (DEN - NUM))
 #: Ids of a key that are paired by a join; more are paired in blocks.
 FEW = 64
-#: Centres of a key that its ids are held against before pairs across components are.
-ROUNDS = 4
 #: Odd multipliers of the samples.
 ODD = hashing.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -181,7 +178,7 @@ def rows_with_components(docs: DataFrame) -> DataFrame:
         few = linking.joined(rest.join(many, "key", "left_anti"), sized)
         return few.unionByName(linking.in_blocks(rest.join(many, "key"), marks.withColumnRenamed("rep", "id"), near_sketches)).distinct()
 
-    labels = linking.components(linking.resolve(postings, verify, sizes.withColumnRenamed("rep", "id"), candidates, ROUNDS))
+    labels = linking.components(linking.resolve(postings, verify, sizes.withColumnRenamed("rep", "id"), candidates))
     of_set = reps.join(labels, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n", F.coalesce("label", "rep").alias("label"))
     return made.select("row", "n", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n"], "left").select("row", "n", F.coalesce("label", "row").alias("label"))
 
