@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import documents, manuscripts, pages, scalar, tex
+from vellum.plans import documents, manuscripts, pages, resolved, scalar, tex
 
-MODULES = (scalar, documents, manuscripts, pages, tex)  # each adds its queries to scalar.Q and scalar.O
+MODULES = (scalar, documents, manuscripts, pages, tex, resolved)  # each adds its queries to scalar.Q and scalar.O
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
