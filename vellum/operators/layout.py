@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.runs import run
+from vellum.sources.shared import written
 
 PAGE = ["doc_id", "page"]
 #: Fixed pattern: fonts of mathematics.
@@ -88,19 +89,24 @@ def baselines(lines: DataFrame, tolerance: float = 2.5) -> DataFrame:
 
 def joined_baselines(lines: DataFrame, body: float = 10.0) -> DataFrame:
     """lines with `joined`: the block whose text a block's first line goes on, on the same baseline and close to its end; its own
-    block where there is none. Chains end at their first block."""
+    block where there is none. Chains of any length end at their first block: each round doubles how far they are followed,
+    until the longest is at its end."""
     middle = lambda t: (F.col(f"{t}.y0") + F.col(f"{t}.y1")) / 2
     first = lines.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE, "block").orderBy("line"))).where("n = 1")
     gap = F.col("b.x0") - F.col("a.x1")
     near = (F.abs(middle("a") - middle("b")) < max(3.0, body * 0.45)) & (gap >= -1) & (gap < body * 3) & (F.col("a.block") != F.col("b.block"))
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in PAGE]
     pairs = lines.alias("a").join(first.alias("b"), [*same, F.floor(middle("a") / 50).between(F.floor(middle("b") / 50) - 1, F.floor(middle("b") / 50) + 1), near])
-    left = pairs.groupBy(*[F.col(f"b.{k}").alias(k) for k in PAGE], F.col("b.block").alias("block")).agg(F.max_by("a.block", "a.x1").alias("to"))
-    out = lines.join(left, [*PAGE, "block"], "left").withColumn("joined", F.coalesce("to", "block")).drop("to")
-    for _ in range(3):  # a line of at most eight pieces
-        up = left.select(*PAGE, F.col("block").alias("joined"), F.col("to").alias("up"))
-        out = out.join(up, [*PAGE, "joined"], "left").withColumn("joined", F.coalesce("up", "joined")).drop("up")
-    return out
+    # to the left only, so that no chain comes back to itself; the nearest end, and of equal ones the smallest block
+    left = pairs.where("a.x0 < b.x0").groupBy(*[F.col(f"b.{k}").alias(k) for k in PAGE], F.col("b.block").alias("block")).agg(F.max_by("a.block", F.struct("a.x1", -F.col("a.block"))).alias("to"))
+    now = written(left)
+    while True:
+        up = now.select(*PAGE, F.col("block").alias("to"), F.col("to").alias("up"))
+        doubled = written(now.join(up, [*PAGE, "to"], "left").select(*PAGE, "block", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")))
+        now = doubled.drop("moved")
+        if doubled.where("moved").isEmpty():
+            break
+    return lines.join(now, [*PAGE, "block"], "left").withColumn("joined", F.coalesce("to", "block")).drop("to")
 
 
 def overlaps(a: dict[str, Column], b: dict[str, Column]) -> Column:

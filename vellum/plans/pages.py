@@ -105,3 +105,20 @@ def sample_format(spark, sf_dir):
     wide = (F.col("doc_id") % 5 >= 3)
     b = b.withColumn("x1", F.when(wide, F.lit(530.0)).otherwise(F.col("x1"))).withColumn("x0", F.when(wide, F.lit(60.0)).otherwise(F.col("x0")))
     return layout.sample_format(b, spark.sql(_SPANS, documents=docs)).select("doc_id", "page_size", "columns")
+
+
+#: Four rows a page of 1 to 40 pieces each, as wide as the document says, with a gap before one of them; the numbers of the
+#: blocks don't follow their places.
+_PIECES = """
+SELECT doc_id, CAST(0 AS BIGINT) AS page, CAST(r * 100 + (p * 7) % 41 AS BIGINT) AS block, CAST(0 AS BIGINT) AS line, CAST(r * 50 + 10 + (doc_id + p) % 3 AS DOUBLE) AS y0, CAST(r * 50 + 20 + (doc_id + p) % 3 AS DOUBLE) AS y1,
+  CAST(10 + p * (12 + doc_id % 5) + CASE WHEN p >= m THEN 60 ELSE 0 END AS DOUBLE) AS x0, CAST(20 + p * (12 + doc_id % 5) + CASE WHEN p >= m THEN 60 ELSE 0 END AS DOUBLE) AS x1, r, p, m
+FROM (SELECT doc_id, 1 + n_chars % 30 AS m FROM {documents}) d JOIN {rows} ON true JOIN {pieces} ON p < 1 + (doc_id * 7 + r * 13) % 40
+"""
+
+
+@query(f"SELECT doc_id, block, CAST(r * 100 + CASE WHEN p >= m THEN (m * 7) % 41 ELSE 0 END AS BIGINT) AS joined FROM ({_PIECES.format(documents='documents', rows='(VALUES (0), (1), (2), (3)) a(r)', pieces='range(40) b(p)')})")
+def baseline_chains(spark, sf_dir):
+    """Rows of many pieces, each a block of its own, as one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = spark.sql(_PIECES.format(documents="{docs}", rows="{rows}", pieces="{pieces}"), docs=docs, rows=spark.range(4).toDF("r"), pieces=spark.range(40).toDF("p"))
+    return layout.joined_baselines(more.drop("r", "p", "m")).select("doc_id", "block", "joined")
