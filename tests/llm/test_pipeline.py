@@ -27,4 +27,4 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
 
 def test_stages_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "decontamination", "bpe_encode"]
-    assert {int(q[2:].split("_")[0]) for q in registry.queries()} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in registry.queries()} == set(range(1, 14))
