@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.operators import layout
-from vellum.plans.scalar import query
+from vellum.operators import layout, page_code
+from vellum.plans.scalar import query, read
 from vellum.sources import derived
 
 #: Blocks of a page in reading order: y, x0, x1. A title, two columns, a wide block, two columns again.
@@ -122,3 +122,62 @@ def baseline_chains(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     more = spark.sql(_PIECES.format(documents="{docs}", rows="{rows}", pieces="{pieces}"), docs=docs, rows=spark.range(4).toDF("r"), pieces=spark.range(40).toDF("p"))
     return layout.joined_baselines(more.drop("r", "p", "m")).select("doc_id", "block", "joined")
+
+
+#: Each document's whole text in pieces of 40 letters, every piece a row of a page of two columns; what a row is and how far it is
+#: indented come from its letters. Some rows have their numbers as pieces of their own.
+_CODE_ROWS = """
+SELECT doc_id, i, (i - i % 20) / 20 AS page, i - i % 10 % (2 + doc_id % 4) AS block, h, h % 4 = 0 AS numbered, i >= 10 OR doc_id % 6 <> 0 AS holds,
+  60 + 260 * ((i % 20 - i % 10) / 10) + 7 * (h % 6) + doc_id % 3 AS x, 100 + i % 10 * 14 + CASE WHEN i % 10 >= 3 + doc_id % 6 THEN 25 ELSE 0 END AS y,
+  h IN (1, 5, 9, 13) AND i % 10 % (2 + doc_id % 4) = 0 AS head, h % 7 = 3 OR h = 22 AS other,
+  CASE WHEN h IN (1, 5, 9, 13) AND i % 10 % (2 + doc_id % 4) = 0 THEN 'Algorithm ' || CAST(i + 1 AS STRING) || ': ' || p WHEN h = 22 THEN 'Figure 3. ' || p WHEN h = 14 THEN ' '
+    WHEN h % 7 = 3 THEN 'prose ' || p || ' and ' || p || ' again' WHEN h % 3 = 0 THEN 'for each ' || p || ' do' WHEN h % 3 = 1 THEN 'return ' || p ELSE 'x ← ' || p END AS t
+FROM (SELECT doc_id, i, replace(substr(text, CAST(i * 40 + 1 AS INTEGER), 40), chr(10), ' ') AS p, ascii(substr(text, CAST(i * 40 + 3 AS INTEGER), 1)) % 23 AS h FROM {rows}) r
+"""
+#: The rules below heads: two, one far below, one near.
+_CODE_RULES = "SELECT doc_id, page, x - 5 AS x0, x + 200 AS x1, y + 10 + d AS y0, y + 11 + d AS y1 FROM {items} JOIN (VALUES (5, 2), (5, 47), (9, 40), (13, 5)) v(k, d) ON head AND h = k"
+_EACH = "(SELECT doc_id, text, unnest(range(0, (length(text) + 39) // 40)) AS i FROM documents)"
+
+
+@query(rf"""
+WITH a AS ({_CODE_ROWS.format(rows=_EACH)}),
+b AS (
+  SELECT doc_id, i, page, block, head, holds, other, numbered, y, x AS hx, CASE WHEN numbered AND trim(t) = '' THEN x - 20 ELSE x END AS x,
+    trim(CASE WHEN numbered THEN i % 1000 || ': ' ELSE '' END || trim(t)) AS text FROM (SELECT * REPLACE (head AND NOT numbered AS head) FROM a)
+),
+q AS (SELECT * FROM b WHERE text <> ''),
+g AS (SELECT q.doc_id, q.i, list_sort(list(r.y0)) AS ys, any_value(q.y) AS y FROM q JOIN ({_CODE_RULES.format(items='a')}) r ON q.head AND q.holds AND r.doc_id = q.doc_id AND r.page = q.page AND r.x0 BETWEEN q.hx - 50 AND q.hx + 20 AND r.y0 > q.y + 9 GROUP BY 1, 2),
+s AS (
+  SELECT q.* REPLACE (head AND holds AS head), CASE WHEN len(ys) >= 2 THEN ys[2] + 1 WHEN ys[1] > g.y + 30 THEN ys[1] + 1 END AS stop,
+    regexp_matches(text, '(?i)←|<-|:=|\+\+|==|!=|≤|≥|to.*do') AS marked FROM q LEFT JOIN g USING (doc_id, i)
+),
+n AS (SELECT *, sum(head::INT) OVER w AS session, lag(y + 10) OVER w AS above FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT *, first(stop) OVER (PARTITION BY doc_id, session ORDER BY i) AS till FROM n),
+e AS (
+  SELECT *, NOT head AND (NOT holds OR coalesce(y > till, false) OR (till IS NULL AND y - above > 16) OR (NOT numbered AND text LIKE 'Figure%')
+    OR (till IS NULL AND other AND NOT numbered AND NOT marked AND length(text) > 60)) AS ends FROM m
+),
+f AS (SELECT *, session > 0 AND max(ends::INT) OVER (PARTITION BY doc_id, session ORDER BY i) = 0 AS taken FROM e),
+k AS (SELECT *, CASE WHEN taken AND NOT head THEN x END AS tx FROM f),
+z AS (SELECT *, min(tx) OVER w AS least, min(tx) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM k WINDOW w AS (PARTITION BY doc_id, session ORDER BY i)),
+v AS (SELECT *, CASE WHEN tx < prior THEN round_even((prior - tx) / 12.0::DOUBLE, 0) ELSE 0 END AS moved FROM z)
+SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(block AS BIGINT) AS block, CASE WHEN head THEN 0 ELSE CAST(sum((NOT head)::INT) OVER (PARTITION BY doc_id, block ORDER BY i) AS BIGINT) END AS row, head, text,
+  CAST(CASE WHEN taken THEN session END AS BIGINT) AS code,
+  CAST(CASE WHEN tx IS NOT NULL THEN round_even((tx - least) / 12.0::DOUBLE, 0) + coalesce(sum(moved) OVER (PARTITION BY doc_id, session ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) END AS BIGINT) AS indent
+FROM v
+""")
+def page_code_sessions(spark, sf_dir):
+    """Pseudo-code that goes on over blocks, columns and pages, and what is given back."""
+    docs = read(spark, sf_dir, "documents")
+    last = F.ceil(F.length("text") / 40) - 1
+    each = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i"))
+    items = spark.sql(_CODE_ROWS.format(rows="{rows}"), rows=each)
+    double = lambda c: F.expr(c).cast("double")
+    boxed = items.select(
+        "doc_id", F.col("page").cast("bigint").alias("page"), "block", F.col("block").alias("place"), "holds", F.lit(None).cast("boolean").alias("bold"), F.col("numbered"),
+        F.explode(F.array(F.struct((F.col("i") * 2 + 1).alias("line"), double("x").alias("x0"), F.col("t").alias("text")), F.struct((F.col("i") * 2).alias("line"), double("x - 20").alias("x0"), F.concat((F.col("i") % 1000).cast("string"), F.lit(":")).alias("text")))).alias("p"),
+        double("y").alias("y0"), double("y + 10").alias("y1"),
+    )
+    lines = boxed.where("numbered OR p.line % 2 = 1").select("*", "p.*", (F.col("p.x0") + 15).alias("x1")).drop("p", "numbered")
+    rules = spark.sql(_CODE_RULES.format(items="{items}"), items=items).withColumn("page", F.col("page").cast("bigint"))
+    return page_code.sessions(lines, rules)
