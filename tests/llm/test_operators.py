@@ -259,15 +259,61 @@ def test_html_extraction(spark):
 
 
 def test_html_text_comes_through_the_wrapper(spark):
-    page = "<html><body><article><h1>Title {i}</h1><p{mark}>Own text {i}</p><div>Read us every day</div></article></body></html>"
-    rows = [(i, "http://h.example/", page.format(i=i, mark=" id='share-7'" if i == 3 else "")) for i in range(20)]
-    rows += [(100 + i, "http://few.example/", page.format(i=i, mark="")) for i in range(3)]
+    page = "<html><body>{on}<h1>Title {i}</h1><p{mark}>Own text {i}</p><h2>Ingredients</h2><p>Salt {i}</p><div>Read us every day</div>{off}</body></html>"
+    whole = "Title {i}\n\nOwn text {i}\n\nIngredients\n\nSalt {i}"
+    ends = "\n\nRead us every day"
+    rows, want = [], {}
+    for first, host, n, (on, off), tail in (
+        (0, "many", 40, ("<article>", "</article>"), ends),
+        (100, "few", 3, ("<article>", "</article>"), ends),
+        (200, "bare", 40, ("", ""), ""),  # nothing but the host's other pages tells the last slot from text
+        (300, "bare-few", 3, ("", ""), ends),
+        (400, "main", 40, ("<main>", "</main>"), ends),
+    ):
+        for i in range(n):
+            rows.append((first + i, f"http://{host}.example/", page.format(i=i, on=on, off=off, mark=" class='share-7'" if (host, i) == ("many", 3) else "")))
+            want[first + i] = whole.format(i=i) + tail
+    del rows[3], want[3]
+    for i in range(2):  # on one page of many a mark differs: another shape, so its own marks decide
+        rows.append((50 + i, "http://many.example/", page.format(i=i, on="<article>", off="</article>", mark=" id='share-7'" if i else "")))
+        want[50 + i] = whole.format(i=i) + ends
     for closure_bytes in (1 << 20, 0):
         pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
         got = {r["page_id"]: r for r in html_wrapper.extract(pages, closure_bytes=closure_bytes).collect()}
         assert all(r["by_wrapper"] for r in got.values())
-        assert all(got[i]["text"] == f"Title {i}\n\nOwn text {i}" for i in range(20))
-        assert all(got[100 + i]["text"] == f"Title {i}\n\nOwn text {i}\n\nRead us every day" for i in range(3))
+        assert {i: r["text"] for i, r in got.items()} == want
+
+
+LAYOUTS = {
+    "sidebar wrapper": ("<div class='layout with-sidebar'><article><p>Kept {i}</p></article><div class='sidebar'><p>gone</p></div></div>", "Kept {i}"),
+    "has comments": ("<main class='post has-comments'><p>Kept {i}</p><div class='comments'><p>gone</p></div></main>", "Kept {i}"),
+    "main in a named box": ("<div class='page sidebar'><main><p>Kept {i}</p></main></div>", "Kept {i}"),
+    "article in a named box": ("<div class='header-banner'><article><p>Kept {i}</p></article></div>", "Kept {i}"),
+    "related work": ("<article><p>A {i}</p><section id='related-work'><h2 id='search'>Search {i}</h2><p>B</p></section><section id='related-posts'><p>gone</p></section></article>", "A {i}\n\nSearch {i}\n\nB"),
+    "inline share": ("<article><p>One <a class='share'>two</a> three {i}</p><p><a class='share'>Share</a> <a class='share'>Mail</a></p></article>", "One two three {i}"),
+    "header title": ("<article><header><h1>Title {i}</h1><p>by me</p><nav>gone</nav></header><p>Text</p></article>", "Title {i}\n\nText"),
+    "header box": ("<article><div class='article-header'><div><h1>Title {i}</h1></div><span>gone</span></div><p>Text</p></article>", "Title {i}\n\nText"),
+    "repeated heading": ("<article><p>Text {i}</p><h2>Ingredients</h2><p>Salt</p></article>", "Text {i}\n\nIngredients\n\nSalt"),
+    "script in a sentence": ("<article><p>One <script>var a = '<p>'</script><button>gone</button><svg><title>x</title></svg>two {i}</p></article>", "One two {i}"),
+    "teasers": ("<div class='sidebar'><article><p>gone</p></article></div><article><p>Kept {i}</p></article>", "Kept {i}"),
+    "comments as articles": ("<article><p>Kept {i}</p></article><ol class='comment-list'><li><article class='comment'><p>gone</p></article></li></ol>", "Kept {i}"),
+    "only comments": ("<p>Kept {i}</p><div id='comments'><article><p>gone</p></article></div>", "Kept {i}"),
+    "unclosed control": ("<article><p>Kept {i} <button>more<p>and this</article>", "Kept {i} more\n\nand this"),
+    "article as main": ("<div class='related'><article><p>gone</p></article></div><article role='main' id='post'><p>Kept {i}</p></article>", "Kept {i}"),
+}
+
+
+def test_layouts_on_many_and_few_pages(spark):
+    rows, want = [], {}
+    for k, (name, (body, text)) in enumerate(LAYOUTS.items()):
+        for n, host in ((12, "many"), (1, "one")):
+            for i in range(n):
+                page_id = k * 100 + i + (50 if n == 1 else 0)
+                rows.append((page_id, f"http://{host}{k}/", f"<html><body><nav>gone</nav>{body.format(i=i)}<footer>gone</footer></body></html>"))
+                want[page_id] = (name, text.format(i=i))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: (want[r["page_id"]][0], r["text"]) for r in html_wrapper.extract(pages).collect()}
+    assert got == want
 
 
 def test_lines_with_one_word_changed(spark):
