@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import bibliography as bib
-from vellum.operators import checks, citations, learning, numbering, specs
+from vellum.operators import checks, citations, guidelines, learning, numbering, specs
 from vellum.plans.scalar import BLOCKS, REFS, A, B, O, Q, lit, query, read
 from vellum.sources import derived
 
@@ -357,10 +357,10 @@ def spec_precedence(spark, sf_dir):
     d = derived.documents(spark, sf_dir).select("doc_id", F.element_at(F.array(*[F.lit(k) for k in specs.PRESETS]), (F.col("doc_id") % 15 + 1).cast("int")).alias("preset"))
     s = d.join(F.broadcast(specs.resolve_presets(spark)), "preset")
     i = F.col("doc_id")
-    guidelines = {"font_size": F.when(i % 3 == 0, 11.0), "abstract_words": F.when(i % 2 == 0, 180)}
+    said = {"font_size": F.when(i % 3 == 0, 11.0), "abstract_words": F.when(i % 2 == 0, 180)}
     template = {"ref_style": F.when(i % 4 == 0, "apa")}
     manual = {"font_size": F.when(i % 5 == 0, 9.5), "abstract_words": F.lit(None).cast("int")}
-    full = specs.merge({f: F.col(f) for f in ("font_size", "ref_style", "abstract_words", "scheme")}, guidelines, template, manual)
+    full = specs.merge({f: F.col(f) for f in ("font_size", "ref_style", "abstract_words", "scheme")}, said, template, manual)
     return s.select("doc_id", "preset", *[c.alias(f) for f, c in full.items()])
 
 
@@ -382,7 +382,7 @@ CAST(150 + doc_id % 100 AS INTEGER) AS abstract_words, 3 AS keywords_min, CAST(5
 CASE doc_id % 2 WHEN 0 THEN 'none' ELSE 'decimal' END AS scheme, 'Funding' AS required_sections FROM documents""")
 def guidelines_extract(spark, sf_dir):
     g = spark.sql(_GUIDE, documents=derived.documents(spark, sf_dir))
-    fields = {k: v for k, v in specs.guideline_fields(F.col("text")).items() if k not in ("columns", "line_numbers", "structured")}
+    fields = {k: v for k, v in guidelines.fields(F.col("text")).items() if k not in ("columns", "line_numbers", "structured")}
     return g.select("doc_id", *[c.alias(k) for k, c in fields.items()])
 
 
