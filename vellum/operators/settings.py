@@ -65,8 +65,22 @@ def levels(settings: DataFrame, keys: list[str]) -> DataFrame:
 
 def for_documents(documents: DataFrame, layers: list[DataFrame]) -> DataFrame:
     """doc_id, path, value, layer: the preset of each document (doc_id, preset) under the layers (doc_id, path, value), weakest
-    first; path and value of the preset are looked up, not copied into the input."""
-    base = documents.join(F.broadcast(preset_rows(documents.sparkSession)), "preset").select("doc_id", F.lit(0).alias("layer"), "path", "value")  # fifteen presets of some hundred rows
+    first, by the rules of `merge`. What the layers state comes together by document, in one shuffle; the preset's rows are put under it
+    afterwards, so that they are never shuffled. No preset has a plain value where another has a group."""
+    rows = documents.select("doc_id", "preset", F.lit(0).alias("layer"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("value"))
     for n, layer in enumerate(layers, 1):
-        base = base.unionByName(layer.select("doc_id", F.lit(n).alias("layer"), "path", "value"))
-    return merge(base, ["doc_id"])
+        rows = rows.unionByName(layer.select("doc_id", F.lit(None).cast("string").alias("preset"), F.lit(n).alias("layer"), "path", "value").where("path IS NOT NULL AND value IS NOT NULL"))
+    last = rows.repartition("doc_id").groupBy("doc_id", "path").agg(F.collect_set("preset").alias("presets"), F.max(F.struct("layer", "value")).alias("x"))
+    row = F.when(F.col("path").isNotNull(), F.struct("path", "x.layer", "x.value"))
+    own = last.groupBy("doc_id").agg(F.flatten(F.collect_list("presets")).alias("presets"), F.collect_list(row).alias("own"))
+    within = lambda a, b: a.startswith(F.concat(b, F.lit("."))) | a.startswith(F.concat(b, F.lit("[")))
+    told = F.col("doc_id").isNotNull()  # equal ids only are one document
+    beats = lambda o: lambda q: told & (within(o["path"], q["path"]) & (q["layer"] > o["layer"]) | within(q["path"], o["path"]) & (q["layer"] >= o["layer"]))
+    kept = own.select("doc_id", F.explode(F.filter("own", lambda o: ~F.exists("own", beats(o)))).alias("o")).select("doc_id", "o.path", "o.value", "o.layer")
+    line = F.array_append(F.array_compact(parents(F.col("path"))), F.col("path"))
+    known = preset_rows(documents.sparkSession).where("value IS NOT NULL").withColumn("line", line)
+    of = own.select("doc_id", F.explode("presets").alias("preset"), F.transform("own", lambda o: o["path"]).alias("paths"), F.when(told, F.flatten(F.transform("own", lambda o: F.array_compact(parents(o["path"]))))).alias("groups"))
+    under = of.join(F.broadcast(known), "preset")  # fifteen presets of some hundred rows
+    hidden = F.when(told, F.arrays_overlap("line", "paths") | F.array_contains("groups", F.col("path"))).otherwise(F.array_contains("paths", F.col("path")))
+    base = under.where(~hidden).groupBy("doc_id", "path").agg(F.max("value").alias("value")).withColumn("layer", F.lit(0))
+    return kept.unionByName(base)
