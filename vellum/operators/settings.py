@@ -70,7 +70,9 @@ def for_documents(documents: DataFrame, layers: list[DataFrame]) -> DataFrame:
     rows = documents.select("doc_id", "preset", F.lit(0).alias("layer"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("value"))
     for n, layer in enumerate(layers, 1):
         rows = rows.unionByName(layer.select("doc_id", F.lit(None).cast("string").alias("preset"), F.lit(n).alias("layer"), "path", "value").where("path IS NOT NULL AND value IS NOT NULL"))
-    last = rows.repartition("doc_id").groupBy("doc_id", "path").agg(F.collect_set("preset").alias("presets"), F.max(F.struct("layer", "value")).alias("x"))
+    # a fixed number: partitions that are small here would be put together, and each document's rows grow a hundredfold below
+    many = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = rows.repartition(many, "doc_id").groupBy("doc_id", "path").agg(F.collect_set("preset").alias("presets"), F.max(F.struct("layer", "value")).alias("x"))
     row = F.when(F.col("path").isNotNull(), F.struct("path", "x.layer", "x.value"))
     own = last.groupBy("doc_id").agg(F.flatten(F.collect_list("presets")).alias("presets"), F.collect_list(row).alias("own"))
     within = lambda a, b: a.startswith(F.concat(b, F.lit("."))) | a.startswith(F.concat(b, F.lit("[")))
