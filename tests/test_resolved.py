@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pyarrow as pa
 import pytest
 
 from vellum.functions.text import fold
@@ -44,6 +45,23 @@ def test_strings_that_share_a_run(spark, titles):
         assert {r["s"]: (r["best"], r["similarity"]) for r in got.collect()} == want
 
 
+def test_frequent_runs_send_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    known = ["proceedings of " + letters(rng.randint(20, 90)) for _ in range(900)]
+    asked = [("on " if i % 2 else "") + "proceedings of " + letters(rng.randint(20, 90)) for i in range(600)] + [k[:-4] + "x" for k in known[:30]] + ["x" + k[3:] for k in known[30:60]]
+    lists = [pa.table({"t": [t for t, n in rows for _ in range(n)], "at": [i for _, n in rows for i in range(n)]}) for rows in ([(t, len(t) - 7) for t in side] for side in (asked, known))]
+    near = [t for t in similarity.near_of_runs(lists[0].append_column("least", pa.array([0.75] * lists[0].num_rows)), lists[1], 8)]
+    pairs = {(x, y) for t in near for x, y in zip(t["x"].to_pylist(), t["y"].to_pylist())}
+    assert len(pairs) < 2_000  # of 594,000 that have the run in common
+    want = best_of(asked[-60:], known, 0.75)
+    assert {y: x for x, y in pairs if want.get(y, ("",))[0] == x} == {y: x for y, (x, _) in want.items()}
+    monkeypatch.setattr(similarity, "OFTEN", 100)
+    monkeypatch.setattr(similarity, "STRINGS", 200)
+    got = similarity.share_a_run(*[spark.createDataFrame([(t,) for t in side], "s string") for side in (asked[-60:] + known[:5], known)], 0.75)
+    assert {r["s"]: (r["best"], r["similarity"]) for r in got.collect()} == want | {k: (k, 1.0) for k in known[:5]}
+
+
 @pytest.mark.parametrize("block", [40, 2048])
 def test_nearest_of_all(spark, titles, block, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", block)
