@@ -105,3 +105,18 @@ def test_against_a_loop(spark):
 def test_nothing(spark):
     none = pc.sessions(spark.createDataFrame([], LINES), spark.createDataFrame([], RULES))
     assert none.count() == 0 and none.columns == ["doc_id", "page", "block", "row", "head", "text", "code", "indent"]
+
+
+def test_texts_are_cut_in_one_go(spark, tmp_path):
+    """A row for each piece with the whole text in it takes the square of a text's length; each text is read twice, for lines and rules."""
+    from pyspark.sql import functions as F
+
+    from vellum.plans.pages import page_code_sessions
+
+    text = F.concat(*[F.lit(x) for x in ("éx <- 1\n", "for each word, do ")])
+    spark.range(3).select(F.col("id").alias("doc_id"), F.repeat(text, 40).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = page_code_sessions(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2
+    assert not any("explode(sequence(" in line for line in plan.splitlines())
+    assert found.count() > 0

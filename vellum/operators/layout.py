@@ -79,12 +79,13 @@ def reading_order(blocks: DataFrame, width: float = 595.0) -> DataFrame:
     return b.withColumn("place", place.cast("bigint")).drop("side", "two", "above", "band", "rank")
 
 
-def baselines(lines: DataFrame, tolerance: float = 2.5) -> DataFrame:
+def baselines(lines: DataFrame, tolerance: float = 2.5, keys: tuple[str, ...] = (*PAGE, "block")) -> DataFrame:
     """lines with `row`: fragments whose bottoms are within the tolerance of the one before are one row, from left to right."""
-    w = Window.partitionBy(*PAGE, "block").orderBy(F.bround("y1"), "x0")
+    # the rounded bottom is a column, so that both windows go by one sort
+    w = Window.partitionBy(*keys).orderBy("_bottom", "x0")
     before = F.lag(F.struct("x0", "y1")).over(w)
     new = before.isNull() | (F.abs(before["y1"] - F.col("y1")) >= tolerance) | (F.col("x0") < before["x0"])
-    return lines.withColumn("row", F.sum(new.cast("int")).over(w).cast("bigint"))
+    return lines.withColumn("_bottom", F.bround("y1")).withColumn("row", F.sum(new.cast("int")).over(w).cast("bigint")).drop("_bottom")
 
 
 def joined_baselines(lines: DataFrame, body: float = 10.0) -> DataFrame:

@@ -132,15 +132,16 @@ SELECT doc_id, i, (i - i % 20) / 20 AS page, i - i % 10 % (2 + doc_id % 4) AS bl
   h IN (1, 5, 9, 13) AND i % 10 % (2 + doc_id % 4) = 0 AS head, h % 7 = 3 OR h = 22 AS other,
   CASE WHEN h IN (1, 5, 9, 13) AND i % 10 % (2 + doc_id % 4) = 0 THEN 'Algorithm ' || CAST(i + 1 AS STRING) || ': ' || p WHEN h = 22 THEN 'Figure 3. ' || p WHEN h = 14 THEN ' '
     WHEN h % 7 = 3 THEN 'prose ' || p || ' and ' || p || ' again' WHEN h % 3 = 0 THEN 'for each ' || p || ' do' WHEN h % 3 = 1 THEN 'return ' || p ELSE 'x ← ' || p END AS t
-FROM (SELECT doc_id, i, replace(substr(text, CAST(i * 40 + 1 AS INTEGER), 40), chr(10), ' ') AS p, ascii(substr(text, CAST(i * 40 + 3 AS INTEGER), 1)) % 23 AS h FROM {rows}) r
+FROM {pieces} r
 """
+_CUT = "(SELECT doc_id, i, replace(substr(text, CAST(i * 40 + 1 AS INTEGER), 40), chr(10), ' ') AS p, ascii(substr(text, CAST(i * 40 + 3 AS INTEGER), 1)) % 23 AS h FROM {rows})"
 #: The rules below heads: two, one far below, one near.
 _CODE_RULES = "SELECT doc_id, page, x - 5 AS x0, x + 200 AS x1, y + 10 + d AS y0, y + 11 + d AS y1 FROM {items} JOIN (VALUES (5, 2), (5, 47), (9, 40), (13, 5)) v(k, d) ON head AND h = k"
 _EACH = "(SELECT doc_id, text, unnest(range(0, (length(text) + 39) // 40)) AS i FROM documents)"
 
 
 @query(rf"""
-WITH a AS ({_CODE_ROWS.format(rows=_EACH)}),
+WITH a AS ({_CODE_ROWS.format(pieces=_CUT.format(rows=_EACH))}),
 b AS (
   SELECT doc_id, i, page, block, head, holds, other, numbered, y, x AS hx, CASE WHEN numbered AND trim(t) = '' THEN x - 20 ELSE x END AS x,
     trim(CASE WHEN numbered THEN i % 1000 || ': ' ELSE '' END || trim(t)) AS text FROM (SELECT * REPLACE (head AND NOT numbered AS head) FROM a)
@@ -169,9 +170,10 @@ FROM v
 def page_code_sessions(spark, sf_dir):
     """Pseudo-code that goes on over blocks, columns and pages, and what is given back."""
     docs = read(spark, sf_dir, "documents")
-    last = F.ceil(F.length("text") / 40) - 1
-    each = docs.where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i"))
-    items = spark.sql(_CODE_ROWS.format(rows="{rows}"), rows=each)
+    # a text is cut in one go: a row for each piece that carries the whole text takes the square of its length
+    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("i", "p"))
+    pieces = cut.select("doc_id", F.col("i").cast("bigint").alias("i"), F.replace("p", F.lit("\n"), F.lit(" ")).alias("p"), (F.ascii(F.substr("p", F.lit(3), F.lit(1))) % 23).alias("h"))
+    items = spark.sql(_CODE_ROWS.format(pieces="{pieces}"), pieces=pieces)
     double = lambda c: F.expr(c).cast("double")
     boxed = items.select(
         "doc_id", F.col("page").cast("bigint").alias("page"), "block", F.col("block").alias("place"), "holds", F.lit(None).cast("boolean").alias("bold"), F.col("numbered"),
