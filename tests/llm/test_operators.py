@@ -284,6 +284,23 @@ def test_html_text_comes_through_the_wrapper(spark):
         assert {i: r["text"] for i, r in got.items()} == want
 
 
+def test_every_shape_of_a_host_goes_into_its_wrapper(spark, monkeypatch):
+    """100 shapes, each on one page: more than any few pages show."""
+    rows, want = [], {}
+    for i in range(100):
+        boxes = [f"Box {b} of {i}" for b in range(i)]
+        rows.append((i, "http://h.example/", f"<html><body><nav>x</nav><article><h1>Title {i}</h1>{''.join(f'<div class=k{b}>{t}</div>' for b, t in enumerate(boxes))}<p>End</p></article></body></html>"))
+        want[i] = "\n\n".join([f"Title {i}", *boxes, "End"])
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = html_wrapper.extract(pages).collect()
+    assert all(r["by_wrapper"] for r in got)
+    assert {r["page_id"]: r["text"] for r in got} == want
+    monkeypatch.setattr(html_wrapper, "ALIGNED", 16)  # several rounds
+    one, many = (html_wrapper.wrappers(pages.repartition(n)).collect() for n in (1, 7))
+    assert one == many and len(one) == 1
+    assert {r["page_id"]: r["text"] for r in html_wrapper.extract(pages).collect()} == want
+
+
 LAYOUTS = {
     "sidebar wrapper": ("<div class='layout with-sidebar'><article><p>Kept {i}</p></article><div class='sidebar'><p>gone</p></div></div>", "Kept {i}"),
     "has comments": ("<main class='post has-comments'><p>Kept {i}</p><div class='comments'><p>gone</p></div></main>", "Kept {i}"),

@@ -20,11 +20,11 @@ text is marked. Scripts, styles, buttons, lists to choose from and drawings are
 don't part it.
 
 A page is read through its host's wrapper: the expression is matched against the page's tokens and the slots flagged as
-content give the text. A page that its wrapper doesn't accept (shape not among the sampled pages) has the slots of its
+content give the text. A page that its wrapper doesn't accept (an optional group took what belonged to a later one) has the slots of its
 own stream by its own marks, so nothing is lost; so have slots whose marks differ from page to page.
 
-Sampling is bounded: `sample` pages a host, those with the smallest hash of their id, shape one wrapper; every page
-counts for the flags and is read whole. Nulls: null html is empty and gives an empty text; a null url has the host "".
+Nothing is sampled: every page's shape goes into its host's wrapper, counts for the flags, and every page is read whole. Pages of one
+shape, repeats folded, count once for the wrapper, so what is aligned grows with a host's shapes, not its pages. Nulls: null html is empty and gives an empty text; a null url has the host "".
 Repeated rows give repeated results. Empty tables give none. Other columns are ignored.
 """
 
@@ -40,7 +40,7 @@ from itertools import takewhile
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import cut, text_column
@@ -286,12 +286,12 @@ def optional(nodes: list):
     return nodes[0] if len(nodes) == 1 and isinstance(nodes[0], list) and nodes[0][0] == "?" else ["?", nodes]
 
 
-def infer(streams: list[list[str]]) -> list:
-    wrapper: list = []
-    for n, stream in enumerate(sorted(streams, key=lambda s: (-len(s), s))):
-        folded = fold(stream)
-        wrapper = align(wrapper, folded) if n else folded
-    return wrapper
+def infer(expressions: list[list]) -> list:
+    """One expression for all of them, the longest first."""
+    wrapper: list | None = None
+    for text in sorted({json.dumps(e) for e in expressions}, key=lambda t: (-len(t), t)):
+        wrapper = json.loads(text) if wrapper is None else align(wrapper, json.loads(text))
+    return wrapper or []
 
 
 class Wrapper:
@@ -371,27 +371,36 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def wrappers(pages: DataFrame, sample: int = 8) -> DataFrame:
-    """host, wrapper (JSON), n_sampled. Each batch gives at most `sample` streams a host, each host as many in all."""
+#: Expressions that a task aligns at once, about. A host with more shapes has them aligned in parts, and its wrapper accepts fewer
+#: of them: what is optional in two parts by different groups isn't told to be the same.
+ALIGNED = 1_000
+
+
+def shapes(pages: DataFrame) -> DataFrame:
+    """host, h, nodes: each folded stream that any of a host's pages has, once (JSON), and a hash by which they are dealt."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picked: dict[str, list] = {}
-            for pid, url, source in zip(*(b.column(i).to_pylist() for i in range(3))):
-                own = picked.setdefault(host_of(url), [])
-                own.append((xxhash.xxh64_intdigest(str(pid)) >> 1, source))
-                if len(own) > 4 * sample:
-                    own.sort()
-                    del own[sample:]
-            rows = [(host, h, json.dumps(Page(source).keys)) for host, own in picked.items() for h, source in sorted(own)[:sample]]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["host", "h", "stream"]), schema=pa.schema([("host", pa.string()), ("h", pa.int64()), ("stream", pa.string())]), preserve_index=False)
+            met = {(host_of(url), json.dumps(Page(source).keys)) for _, url, source in zip(*(b.column(i).to_pylist() for i in range(3)))}
+            rows = sorted({(host, json.dumps(fold(json.loads(keys)))) for host, keys in met})
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["host", "nodes"])
+
+    return pages.mapInArrow(streams, "host string, nodes string").distinct().withColumn("h", F.xxhash64("nodes"))
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON): one expression of all shapes of all a host's pages. Shapes are aligned about ALIGNED at a time, and
+    what comes of them likewise until a host has one, so that no task meets all shapes of a host; how they are dealt goes
+    by their hashes, so the result doesn't depend on partitions."""
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], json.dumps(infer([json.loads(s) for s in rows["stream"]])), len(rows))], columns=["host", "wrapper", "n_sampled"])
+        return pd.DataFrame([(key[0], json.dumps(infer([json.loads(s) for s in rows["nodes"]])))], columns=["host", "nodes"])
 
-    order = Window.partitionBy("host").orderBy("h", "stream")
-    few = pages.mapInArrow(streams, "host string, h bigint, stream string").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    return few.groupBy("host").applyInPandas(learn, "host string, wrapper string, n_sampled bigint")
+    now = cut(shapes(pages))
+    while (most := now.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        deal = F.pmod("h", F.lit(-(-most // ALIGNED)))
+        now = cut(now.groupBy("host", deal.alias("deal")).applyInPandas(learn, "host string, nodes string").withColumn("h", F.xxhash64("nodes")))
+    return now.select("host", F.col("nodes").alias("wrapper"))
 
 
 def with_wrappers(raw: DataFrame, learnt: DataFrame, salts: int) -> DataFrame:
@@ -472,12 +481,12 @@ def compiled_wrapper(compiled: dict[str, Wrapper], w: str) -> Wrapper:
     return compiled[w]
 
 
-def extract(pages: DataFrame, sample: int = 8, closure_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
+def extract(pages: DataFrame, closure_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """page_id, url, text, n_chars, by_wrapper (whether the host's wrapper accepts the page and so gives its text).
 
     The wrappers go with the code if they take at most closure_bytes; else they are joined by host."""
     raw = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), text_column("html").alias("html"))
-    learnt = cut(wrappers(raw, sample).select("host", F.concat(F.lit("["), "wrapper", F.lit("]")).alias("wrapper")))
+    learnt = cut(wrappers(raw).select("host", F.concat(F.lit("["), "wrapper", F.lit("]")).alias("wrapper")))
     small = (learnt.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= closure_bytes
     first = {r["host"]: r["wrapper"] for r in learnt.collect()} if small else None
     flags = slot_flags(raw if small else with_wrappers(raw, learnt, salts), first)
