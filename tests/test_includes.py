@@ -48,3 +48,14 @@ def test_chains_of_pieces(spark):
     df = spark.createDataFrame(rows, "doc_id int, page int, block int, line int, y0 double, y1 double, x0 double, x1 double").repartition(3)
     assert {(r["page"], r["block"]): r["joined"] for r in layout.joined_baselines(df).collect()} == want
     assert layout.joined_baselines(df.limit(0)).select(F.col("joined")).count() == 0
+
+
+def test_rows_of_pieces_meet_in_cells(spark):
+    """One page of 300 rows of pieces: no join compares all of its pieces, and chains are followed without a round for each doubling."""
+    rows = [(1, 0, r * 100 + p, 0, p * 14.0, p * 14.0 + 10, r * 20.0, r * 20.0 + 10) for r in range(300) for p in range(9)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, block int, line int, x0 double, x1 double, y0 double, y1 double")
+    found = layout.joined_baselines(df)
+    assert {(r["block"], r["joined"]) for r in found.collect()} == {(r * 100 + p, r * 100) for r in range(300) for p in range(9)}
+    assert dict(found.dtypes)["joined"] == "int"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_row" in plan and "_col" in plan and plan.count("collect_list") == 1

@@ -6,11 +6,14 @@ columns. Coordinates are points from the top left. A page is the largest group t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.runs import run
-from vellum.sources.shared import written
 
 PAGE = ["doc_id", "page"]
 #: Fixed pattern: fonts of mathematics.
@@ -90,24 +93,47 @@ def baselines(lines: DataFrame, tolerance: float = 2.5, keys: tuple[str, ...] =
 
 def joined_baselines(lines: DataFrame, body: float = 10.0) -> DataFrame:
     """lines with `joined`: the block whose text a block's first line goes on, on the same baseline and close to its end; its own
-    block where there is none. Chains of any length end at their first block: each round doubles how far they are followed,
-    until the longest is at its end."""
-    middle = lambda t: (F.col(f"{t}.y0") + F.col(f"{t}.y1")) / 2
+    block where there is none. Lines meet in cells of a grid about as large as what counts as close, so pairs grow with
+    the lines; chains of any length are followed to their first block, the links of a page in one row."""
+    middle = lambda t: (F.col(f"{t}y0") + F.col(f"{t}y1")) / 2
+    high, wide = max(3.0, body * 0.45), body * 3
     first = lines.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE, "block").orderBy("line"))).where("n = 1")
+    # a cell is a little larger than what is close, so that rounding leaves no pair out
+    row, col = (lambda y: F.floor(y / (high * 1.01))), (lambda x: F.floor(x / (wide + 2)))
+    ends = lines.select(*PAGE, "block", "x0", "x1", "y0", "y1", row(middle("")).alias("_row"), col(F.col("x1")).alias("_col"))
+    begins = first.select(*PAGE, "block", "x0", "y0", "y1", F.explode(F.sequence(row(middle("")) - 1, row(middle("")) + 1)).alias("_row"), F.sequence(col(F.col("x0") - wide - 0.5), col(F.col("x0") + 1.5)).alias("_cols"))
+    begins = begins.select(*PAGE, "block", "x0", "y0", "y1", "_row", F.explode("_cols").alias("_col"))
     gap = F.col("b.x0") - F.col("a.x1")
-    near = (F.abs(middle("a") - middle("b")) < max(3.0, body * 0.45)) & (gap >= -1) & (gap < body * 3) & (F.col("a.block") != F.col("b.block"))
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in PAGE]
-    pairs = lines.alias("a").join(first.alias("b"), [*same, F.floor(middle("a") / 50).between(F.floor(middle("b") / 50) - 1, F.floor(middle("b") / 50) + 1), near])
+    near = (F.abs(middle("a.") - middle("b.")) < high) & (gap >= -1) & (gap < wide) & (F.col("a.block") != F.col("b.block"))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*PAGE, "_row", "_col"]]
     # to the left only, so that no chain comes back to itself; the nearest end, and of equal ones the smallest block
-    left = pairs.where("a.x0 < b.x0").groupBy(*[F.col(f"b.{k}").alias(k) for k in PAGE], F.col("b.block").alias("block")).agg(F.max_by("a.block", F.struct("a.x1", -F.col("a.block"))).alias("to"))
-    now = written(left)
-    while True:
-        up = now.select(*PAGE, F.col("block").alias("to"), F.col("to").alias("up"))
-        doubled = written(now.join(up, [*PAGE, "to"], "left").select(*PAGE, "block", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")))
-        now = doubled.drop("moved")
-        if doubled.where("moved").isEmpty():
-            break
-    return lines.join(now, [*PAGE, "block"], "left").withColumn("joined", F.coalesce("to", "block")).drop("to")
+    pairs = ends.alias("a").join(begins.alias("b"), [*same, near]).where("a.x0 < b.x0")
+    left = pairs.groupBy(*[F.col(f"b.{k}").alias(k) for k in PAGE], F.col("b.block").alias("block")).agg(F.max_by("a.block", F.struct("a.x1", -F.col("a.block"))).alias("to"))
+    of_page = left.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("block").cast("bigint").alias("block"), F.col("to").cast("bigint").alias("to"))).alias("links"))
+    kinds = dict(of_page.dtypes)
+    followed = of_page.mapInArrow(follow, ", ".join(f"{c} {kinds[c]}" for c in [*PAGE, "links"]))
+    now = followed.select(*PAGE, F.explode("links").alias("_x")).select(*PAGE, F.col("_x.block").alias("block"), F.col("_x.to").alias("to"))
+    return lines.join(now, [*PAGE, "block"], "left").withColumn("joined", F.coalesce(F.col("to").cast(dict(lines.dtypes)["block"]), F.col("block"))).drop("to")
+
+
+def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with their links (block, to), each link to the end of its chain: each round doubles how far all are followed."""
+    for b in batches:
+        links = b.column(len(PAGE))
+        flat = links.flatten()
+        page = np.repeat(np.arange(len(links)), links.value_lengths().to_numpy(zero_copy_only=False))
+        block, to = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        names, code = np.unique(np.concatenate([block, to]), return_inverse=True)
+        own, aim = page * len(names) + code[: len(block)], page * len(names) + code[len(block) :]
+        order = np.argsort(own)
+        at = np.minimum(np.searchsorted(own[order], aim), max(len(own) - 1, 0))
+        up = np.where(own[order][at] == aim, order[at], -1)
+        while (more := up >= 0).any():
+            to = np.where(more, to[up], to)
+            up = np.where(more, up[up], -1)
+        both = pa.StructArray.from_arrays([pa.array(block), pa.array(to)], names=["block", "to"])
+        ends = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*b.columns[: len(PAGE)], pa.ListArray.from_arrays(pa.array(ends), both)], names=[*PAGE, "links"])
 
 
 def overlaps(a: dict[str, Column], b: dict[str, Column]) -> Column:
