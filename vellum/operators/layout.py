@@ -98,10 +98,10 @@ def joined_baselines(lines: DataFrame, body: float = 10.0) -> DataFrame:
     middle = lambda t: (F.col(f"{t}y0") + F.col(f"{t}y1")) / 2
     high, wide = max(3.0, body * 0.45), body * 3
     first = lines.withColumn("n", F.row_number().over(Window.partitionBy(*PAGE, "block").orderBy("line"))).where("n = 1")
-    # a cell is a little larger than what is close, so that rounding leaves no pair out
-    row, col = (lambda y: F.floor(y / (high * 1.01))), (lambda x: F.floor(x / (wide + 2)))
+    # cells four times as large as what is close, so that most lines begin in one; with a margin, so that rounding leaves no pair out
+    row, col = (lambda y: F.floor(y / (high * 4))), (lambda x: F.floor(x / (wide * 4)))
     ends = lines.select(*PAGE, "block", "x0", "x1", "y0", "y1", row(middle("")).alias("_row"), col(F.col("x1")).alias("_col"))
-    begins = first.select(*PAGE, "block", "x0", "y0", "y1", F.explode(F.sequence(row(middle("")) - 1, row(middle("")) + 1)).alias("_row"), F.sequence(col(F.col("x0") - wide - 0.5), col(F.col("x0") + 1.5)).alias("_cols"))
+    begins = first.select(*PAGE, "block", "x0", "y0", "y1", F.explode(F.sequence(row(middle("") - high - 0.5), row(middle("") + high + 0.5))).alias("_row"), F.sequence(col(F.col("x0") - wide - 0.5), col(F.col("x0") + 1.5)).alias("_cols"))
     begins = begins.select(*PAGE, "block", "x0", "y0", "y1", "_row", F.explode("_cols").alias("_col"))
     gap = F.col("b.x0") - F.col("a.x1")
     near = (F.abs(middle("a.") - middle("b.")) < high) & (gap >= -1) & (gap < wide) & (F.col("a.block") != F.col("b.block"))
