@@ -390,7 +390,7 @@ def shapes(pages: DataFrame) -> DataFrame:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON): one expression of all shapes of all a host's pages. Shapes are aligned about ALIGNED at a time, and
-    what comes of them likewise until a host has one, so that no task meets all shapes of a host; how they are dealt goes
+    what comes of them likewise until a host has one, so that no task meets many more at once; how they are dealt goes
     by their hashes, so the result doesn't depend on partitions."""
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
