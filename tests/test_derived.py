@@ -17,3 +17,10 @@ def test_blocks_equal_the_joins(spark, ids):
 def test_no_text_is_shuffled(spark, sf_dir):
     made = derived.made_blocks(spark, derived.documents(spark, sf_dir).select("doc_id", "text"))
     assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_task_are_left_in_several_files(spark, sf_dir):
+    from vellum.sources.shared import once
+
+    made = once(spark, "rows-of-one-task", sf_dir, lambda: spark.range(60_000).coalesce(1))
+    assert made.count() == 60_000 and len(made.inputFiles()) > 1
